@@ -1,8 +1,80 @@
-"""A corpus pipeline: each stage takes the documents that the stage before it kept."""
+"""A corpus pipeline: each stage takes the documents that the stage before it kept.
 
-STAGES = []
+Language ID, exact dedup, near dedup and decontamination return the columns of documents; packing returns pieces.
+A stage's columns are numbered while it works, so extra columns may have any names.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linesift.llm import decontam, exact_dedup, lang_id, near_dedup, packing
+from linesift.llm.common import stored
+from linesift.llm.queries import tokenizer_path
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
+    """docs with columns c0, c1, ..., and those of doc_id, text and lang."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at["doc_id"], at["text"], at["lang"]
+
+
+def _among(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose key is in kept, a table of one column; null is in it if kept has it. No text is sorted."""
+    kept = kept.toDF("_kept").distinct().hint("shuffle_hash")
+    return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go: those without letters, and those that fit no language's model."""
+    rows, id_, text, lang = _numbered(docs)
+    found = lang_id.identify(rows, lang_id.fit(rows, id_, text, lang), keep=rows.columns, text_col=text)
+    return found.filter(~F.col("rejected")).select(rows.columns).toDF(*docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest doc_id stays. Rows that repeat it are that document."""
+    rows, id_, text, _ = _numbered(docs)
+    kept = exact_dedup.exact_dedup(rows, id_, text).filter("kept").select(F.struct(F.col(id_).alias("id"), "text_sha256"))
+    key = F.struct(F.col(id_).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"))
+    return _among(rows.withColumn("key", key), "key", kept).drop("key").toDF(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five words, similarity 0.8), the document with the smallest doc_id stays."""
+    rows, id_, text, _ = _numbered(docs)
+    return _among(rows, id_, near_dedup.near_dedup(rows, id_, text).filter("kept").select(id_)).toDF(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of any benchmark item go: here one item is enough."""
+    rows, id_, text, _ = _numbered(docs)
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    clean = decontam.PositionalIndex(rows, bench, id_, text).report(least_items=1).filter(~F.col("contaminated"))
+    return _among(rows, id_, clean.select(id_)).toDF(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: SQL can't express the first stage, nor the last.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
