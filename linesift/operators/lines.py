@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip, printed, tokens_of
 
-FILE = Window.partitionBy("output_id", "path")
+def of_file():
+    return Window.partitionBy("output_id", "path")
 
 
 def dedupe_lines(lines: DataFrame) -> DataFrame:
@@ -21,8 +22,8 @@ def dedupe_lines(lines: DataFrame) -> DataFrame:
 
 def with_blocks(lines: DataFrame, gap: int = 0) -> DataFrame:
     """Adds block: the number of the run of lines, at most gap lines apart, in its file."""
-    apart = F.col("number") - F.lag("number").over(FILE.orderBy("number")) > gap + 1
-    return lines.withColumn("block", F.sum(F.when(apart, 1).otherwise(0)).over(FILE.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    apart = F.col("number") - F.lag("number").over(of_file().orderBy("number")) > gap + 1
+    return lines.withColumn("block", F.sum(F.when(apart, 1).otherwise(0)).over(of_file().orderBy("number").rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
 
 
 def blocks(lines: DataFrame, gap: int = 0) -> DataFrame:
@@ -43,12 +44,12 @@ def drop_context(lines: DataFrame) -> DataFrame:
 
 def with_rank(lines: DataFrame) -> DataFrame:
     """Adds rank: a match's place among its file's matches, in line order (null for context)."""
-    return lines.withColumn("rank", F.when(F.col("is_match"), F.count_if("is_match").over(FILE.orderBy("number").rowsBetween(Window.unboundedPreceding, 0))))
+    return lines.withColumn("rank", F.when(F.col("is_match"), F.count_if("is_match").over(of_file().orderBy("number").rowsBetween(Window.unboundedPreceding, 0))))
 
 
 def cap_matches(lines: DataFrame, cap: int) -> DataFrame:
     """The first cap matches of each file. In a file that loses some, context stays only in runs that hold a kept match."""
-    rows = with_rank(lines).withColumn("over", F.max("rank").over(FILE) > cap)
+    rows = with_rank(lines).withColumn("over", F.max("rank").over(of_file()) > cap)
     kept = with_blocks(rows.filter(F.coalesce(F.col("rank") <= cap, F.lit(True))))
     whole = F.bool_or("is_match").over(Window.partitionBy("output_id", "path", "block"))
     return kept.withColumn("holds", whole).filter("holds or not coalesce(over, false)").drop("rank", "over", "block", "holds")
@@ -101,7 +102,7 @@ def rendered(lines: DataFrame, limit: int = 300) -> DataFrame:
 
     The result is one text an output, which is what a budget has bounded.
     """
-    rows = with_blocks(lines).withColumn("first", F.min("seq").over(FILE))
+    rows = with_blocks(lines).withColumn("first", F.min("seq").over(of_file()))
     line = printed(F.col("path"), F.col("number"), F.col("text"), F.col("is_match"), limit)
     per_block = rows.groupBy("output_id", "path", "first", "block").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), F.bool_or(~F.col("is_match")).alias("context")

@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import mask_times
 
-LOG = Window.partitionBy("output_id").orderBy("seq")
-UP_TO = LOG.rowsBetween(Window.unboundedPreceding, 0)
+def in_order():
+    return Window.partitionBy("output_id").orderBy("seq")
+
+
+def up_to():
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
+
 
 PASSING = "passing/skipped test lines"
 PROTECTED = r"(?i)(error|fail|exception|traceback|panic|warn|assert)"
@@ -64,7 +69,7 @@ def drop_progress(lines: DataFrame, families=PROGRESS, least: int = 10) -> DataF
 def with_section(lines: DataFrame) -> DataFrame:
     """Adds section: the name of the last header line up to here ('' before the first)."""
     head = F.when(F.col("text").rlike(SECTION), F.trim(F.regexp_extract("text", SECTION, 1)))
-    return lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(UP_TO), F.lit("")))
+    return lines.withColumn("section", F.coalesce(F.last(head, ignorenulls=True).over(up_to()), F.lit("")))
 
 
 def drop_passes_section(lines: DataFrame) -> DataFrame:
@@ -73,7 +78,7 @@ def drop_passes_section(lines: DataFrame) -> DataFrame:
     rows = with_section(lines)
     inside = F.col("section") == "PASSES"
     opens = inside & (F.col("text").rlike(SECTION) | F.col("text").rlike(TEST_HEADER))
-    rows = rows.withColumn("inside", inside).withColumn("opens", opens).withColumn("test", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(UP_TO))
+    rows = rows.withColumn("inside", inside).withColumn("opens", opens).withColumn("test", F.sum(F.when(F.col("opens"), 1).otherwise(0)).over(up_to()))
     trouble = F.col("inside") & ~F.col("opens") & F.col("text").rlike(PROTECTED)
     rows = rows.withColumn("trouble", trouble).withColumn("keeps", F.bool_or("trouble").over(Window.partitionBy("output_id", "test")))
     any_ = rows.groupBy("output_id").agg(F.bool_or("trouble").alias("some"))
@@ -85,7 +90,7 @@ def drop_passes_section(lines: DataFrame) -> DataFrame:
 def drop_go_headers(lines: DataFrame) -> DataFrame:
     """Adds label: passing lines of go test, and test headers that nothing but another header or a result follows."""
     _, mark, passing = SIMPLE_RUNNERS[2]
-    nxt = F.coalesce(F.lead("text").over(LOG), F.lit(""))
+    nxt = F.coalesce(F.lead("text").over(in_order()), F.lit(""))
     rows = has_mark(lines, mark).withColumn("nxt", nxt)
     empty = F.col("text").rlike(GO_HEADER) & (F.col("nxt").rlike(GO_HEADER) | F.col("nxt").rlike(passing) | F.col("nxt").rlike(mark))
     return rows.withColumn("label", F.when(F.col("on") & (F.col("text").rlike(passing) | empty), F.lit(PASSING))).drop("on", "nxt")
@@ -93,7 +98,7 @@ def drop_go_headers(lines: DataFrame) -> DataFrame:
 
 def drop_surefire(lines: DataFrame) -> DataFrame:
     """Adds label: passing classes of maven's surefire, each with the Running line just before it."""
-    rows = has_mark(lines, SUREFIRE_MARK).withColumn("nxt", F.coalesce(F.lead("text").over(LOG), F.lit("")))
+    rows = has_mark(lines, SUREFIRE_MARK).withColumn("nxt", F.coalesce(F.lead("text").over(in_order()), F.lit("")))
     passed = F.regexp_extract("text", SUREFIRE_PASS, 2) != ""
     running = F.regexp_extract("text", SUREFIRE_RUNNING, 2)
     starts = (running != "") & (running == F.regexp_extract("nxt", SUREFIRE_PASS, 2))
@@ -127,8 +132,8 @@ def repeat_runs(lines: DataFrame, least: int = 5) -> DataFrame:
     What is shown of a run of at least `least` lines: its first, a marker, its last.
     """
     rows = lines.withColumn("key", mask_times(F.col("text")))
-    same = (F.lag("key").over(LOG) == F.col("key")) & (F.col("key") != "") & (F.lag("seq").over(LOG) == F.col("seq") - 1)
-    rows = rows.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(UP_TO))
+    same = (F.lag("key").over(in_order()) == F.col("key")) & (F.col("key") != "") & (F.lag("seq").over(in_order()) == F.col("seq") - 1)
+    rows = rows.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(up_to()))
     run = Window.partitionBy("output_id", "run")
     rows = rows.withColumn("run_size", F.count(F.lit(1)).over(run)).withColumn("run_place", F.row_number().over(run.orderBy("seq")).cast("bigint"))
     hidden = (F.col("run_size") >= least) & (F.col("run_place") > 1) & (F.col("run_place") < F.col("run_size"))

@@ -18,8 +18,12 @@ COUNT = r"^(.+):([0-9]+)$"
 FRAMING = r"^(?:Found [0-9]+ .+|No (?:files|matches) found\.?|\(Results are truncated[^)]*\)\.?|\[Showing results with pagination[^\]]*\])$"
 SELECT_STRING = r"^(> |  )(\S.*?):([0-9]+):(.*)$"
 
-OUT = Window.partitionBy("output_id").orderBy("seq")
-UP_TO = OUT.rowsBetween(Window.unboundedPreceding, 0)
+def in_order():
+    return Window.partitionBy("output_id").orderBy("seq")
+
+
+def up_to():
+    return in_order().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def raw_lines(outputs: DataFrame) -> DataFrame:
@@ -35,7 +39,7 @@ def blank(line: Column) -> Column:
 def detect_kind(rows: DataFrame) -> DataFrame:
     """output_id, kind: content, paths or count, from the shape of the lines that are neither blank nor separators."""
     use = rows.filter(~blank(F.col("line")) & (F.col("line") != "--"))
-    nxt, prev = F.lead("line").over(OUT), F.lag("line").over(OUT)
+    nxt, prev = F.lead("line").over(in_order()), F.lag("line").over(in_order())
     name = F.regexp_extract("line", r"^  (.*)$", 1)
     indented = F.col("line").startswith("  ")
     opens = F.col("line").rlike(r"[/\\]$")
@@ -56,8 +60,8 @@ def with_framing(rows: DataFrame) -> DataFrame:
     """Adds part: header, body or footer. Framing lines and blanks at either end are no body; blank ones get null."""
     frame = blank(F.col("line")) | F.trim("line").rlike(FRAMING)
     rows = rows.withColumn("frame", frame)
-    head = F.bool_and("frame").over(UP_TO)
-    foot = F.bool_and("frame").over(OUT.rowsBetween(0, Window.unboundedFollowing))
+    head = F.bool_and("frame").over(up_to())
+    foot = F.bool_and("frame").over(in_order().rowsBetween(0, Window.unboundedFollowing))
     part = F.when(F.col("head"), F.lit("header")).when(F.col("foot"), F.lit("footer")).otherwise(F.lit("body"))
     rows = rows.withColumn("head", head).withColumn("foot", foot)
     return rows.withColumn("part", F.when((part != "body") & blank(F.col("line")), F.lit(None)).otherwise(part)).drop("frame", "head", "foot")
@@ -91,14 +95,14 @@ def headed_content(rows: DataFrame) -> DataFrame:
     """Rows under headings: a path line, then N:text or N-text; a blank line ends a heading."""
     bare = F.col("line").rlike(BARE)
     head = F.when(blank(F.col("line")), F.lit("")).when(~bare & (F.col("line") != "--") & looks_like_path(F.col("line")), F.col("line"))
-    rows = rows.withColumn("path", F.last(head, ignorenulls=True).over(UP_TO))
+    rows = rows.withColumn("path", F.last(head, ignorenulls=True).over(up_to()))
     return rows.filter(bare).select("output_id", "seq", F.coalesce("path", F.lit("")).alias("path"), F.regexp_extract("line", BARE, 1).cast("bigint").alias("number"), F.regexp_extract("line", BARE, 3).alias("text"), (F.regexp_extract("line", BARE, 2) == ":").alias("is_match"))
 
 
 def same_line_groups(rows: DataFrame, head: str) -> DataFrame:
     """Rows of a line text found at several places: a head line with the text, then rows of "  path:1,2,3"."""
     text = F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1)).when(~F.col("line").rlike(r"^  (?:.+:)?[0-9]+(?:,[0-9]+)*$"), F.lit("\0"))
-    rows = rows.withColumn("text", F.last(text, ignorenulls=True).over(UP_TO)).filter((F.col("text") != "\0") & ~F.col("line").rlike(head))
+    rows = rows.withColumn("text", F.last(text, ignorenulls=True).over(up_to())).filter((F.col("text") != "\0") & ~F.col("line").rlike(head))
     place = r"^  (?:(.+):)?([0-9]+(?:,[0-9]+)*)$"
     numbers = F.split(F.regexp_extract("line", place, 2), ",").cast("array<bigint>")
     return rows.select("output_id", "seq", F.regexp_extract("line", place, 1).alias("path"), F.explode(numbers).alias("number"), "text", F.lit(True).alias("is_match"))
@@ -126,12 +130,12 @@ def json_events(rows: DataFrame) -> DataFrame:
 
 def listed_entries(rows: DataFrame) -> DataFrame:
     """Rows of a path list or count list, with names below dir/ lines spelt out: output_id, seq, entry."""
-    nxt = F.coalesce(F.lead("line").over(OUT), F.lit(""))
+    nxt = F.coalesce(F.lead("line").over(in_order()), F.lit(""))
     inside = F.col("line").startswith("  ") & ~blank(F.col("line"))
     opens = ~F.col("line").startswith(" ") & F.col("line").rlike(r"[/\\]$") & F.col("nxt").startswith("  ") & ~blank(F.col("nxt"))
     rows = rows.withColumn("nxt", nxt).withColumn("opens", opens)
     here = F.when(F.col("opens"), F.col("line")).when(~inside, F.lit(""))
-    rows = rows.withColumn("dir", F.coalesce(F.last(here, ignorenulls=True).over(UP_TO), F.lit("")))
+    rows = rows.withColumn("dir", F.coalesce(F.last(here, ignorenulls=True).over(up_to()), F.lit("")))
     rows = rows.filter(~F.col("opens") & ~blank(F.col("line")))
     return rows.select("output_id", "seq", F.when((F.col("dir") != "") & inside, F.concat("dir", F.trim("line"))).otherwise(F.trim("line")).alias("entry"))
 

@@ -1,0 +1,5 @@
+"""Whole texts: one raw output in, one reduced text out.
+
+An output is a small text and needs no other, so these run as one Python call a row (mapInPandas), without a shuffle.
+Relations over many outputs are the operators' job.
+"""

@@ -1,0 +1,66 @@
+"""slim and compact over tables of raw outputs: output_id and raw in, output_id, text and stats out."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .compaction import TRIGGER, compact
+from .views import DEFAULTS, Config, Query, slim
+
+SCHEMA = "output_id string, text string, raw_tokens long, tokens long, stats string"
+
+
+def view_config(view: str, **more) -> Config:
+    """The settings that suit a view."""
+    budget, trigger = DEFAULTS[view]
+    return Config(**{"view": view, "max_tokens": budget, "trigger_tokens": trigger} | more)
+
+
+def _rows(f):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                raw = row.raw or ""
+                size = (len(raw) + 3) // 4
+                try:
+                    found = f(row, raw)
+                except Exception as e:  # a text that can't be reduced is passed on as it is
+                    out.append((row.output_id, raw, size, size, json.dumps({"error": repr(e)})))
+                    continue
+                text = found.text if found else raw
+                out.append((row.output_id, text, size, (len(text) + 3) // 4, json.dumps(found.stats if found else {"level": "L0"})))
+            yield pd.DataFrame(out, columns=["output_id", "text", "raw_tokens", "tokens", "stats"])
+
+    return run
+
+
+def slim_outputs(outputs: DataFrame, config: Config | None = None, kind: str | None = None) -> DataFrame:
+    """outputs: output_id, raw, and any of default_path, intent, subtask, pattern. Null raw is empty."""
+    config = config or view_config("lossless")
+    text = lambda c: (F.coalesce(c, F.lit("")) if c in outputs.columns else F.lit("")).alias(c)
+    rows = outputs.select(F.col("output_id").cast("string").alias("output_id"), "raw", *map(text, ("default_path", "intent", "subtask", "pattern")))
+
+    def one(row, raw):
+        query = Query(row.intent, row.subtask, row.pattern) if row.intent or row.subtask or row.pattern else None
+        return slim(raw, config, kind, row.default_path, query)
+
+    return rows.mapInPandas(_rows(one), SCHEMA)
+
+
+def compact_outputs(outputs: DataFrame, trigger: int = TRIGGER) -> DataFrame:
+    rows = outputs.select(F.col("output_id").cast("string").alias("output_id"), "raw")
+    return rows.mapInPandas(_rows(lambda row, raw: compact(raw, trigger)), SCHEMA)
+
+
+def response_text(response: Column) -> Column:
+    """The text of a tool's JSON response: its content, or its file names by line; null for another shape."""
+    names = F.array_join(F.from_json(F.get_json_object(response, "$.filenames"), "array<string>"), "\n")
+    return F.coalesce(F.get_json_object(response, "$.content"), names)
+
+
