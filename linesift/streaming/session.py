@@ -40,7 +40,7 @@ class SeenLines(StatefulProcessor):
             else:
                 # Anything in doubt counts as unseen: an edit at the same moment makes the line new.
                 known = self.seen.containsKey((r.key,)) and self.seen.getValue((r.key,))
-                stale = known and file and self.edited.containsKey((file,)) and self.edited.getValue((file,))[0] >= known[1]
+                stale = known and known[0] and self.edited.containsKey((known[0],)) and self.edited.getValue((known[0],))[0] >= known[1]
                 if not known or stale:
                     out.append((key[0], file, r.key, int(r.ns)))
                     self.seen.updateValue((r.key,), (file, int(r.ns)))
@@ -52,7 +52,9 @@ class SeenLines(StatefulProcessor):
 
 def fresh_lines(events: DataFrame) -> DataFrame:
     """events: a stream with the columns of EVENTS. A stream of the lines that were new to their session."""
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf = events.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # there are no timers, so no batch is needed without data
     return events.groupBy("session").transformWithStateInPandas(SeenLines(), outputStructType=FRESH, outputMode="append", timeMode="ProcessingTime")
 
 

@@ -1,0 +1,137 @@
+"""Whole texts: every layout keeps all locations, nothing is invented, budgets hold."""
+
+import itertools
+
+import pytest
+
+from linesift.texts import compaction, reading, views
+from linesift.texts.views import Config, Query, slim
+
+
+def search_text(files=30, hits=20, context=True, note=""):
+    out = []
+    for i, n in itertools.product(range(files), range(hits)):
+        p, at = f"src/pkg{i % 3}/file{i}.py", 10 * n + 5
+        out += [f"{p}-{at - 1}-    # before"] * context + [f"{p}:{at}:    value = compute_{n}(alpha){note}"]
+    return "\n".join(out)
+
+
+ENV = "\n".join(f"svc/{i % 4}/f{i}.js:{n}:  const x{n} = process.env.KEY_{(i * n) % 25} || 'd{i}-{n}'" for i in range(40) for n in range(1, 12))
+
+
+@pytest.mark.parametrize("raw,budget,pattern", [(search_text(), 5000, ""), (search_text(context=False), 9000, ""), (search_text(8, 8, False, " # x"), 4000, ""), (ENV, 3500, "process.env"), (search_text(3, 3), 900, "")])
+def test_lossless_keeps_every_location(raw, budget, pattern):
+    r = slim(raw, Config(view="lossless", max_tokens=budget), query=Query(pattern=pattern))
+    assert r.stats["level"] in ("L0", "L1", "L1-matches", "L2")
+    assert views.locations(r.text) == views.locations(raw)
+    assert reading.tokens(r.text) <= reading.tokens(raw)
+
+
+def test_projection():
+    r = slim(ENV, Config(view="lossless", max_tokens=3500), query=Query(pattern="process.env"))
+    assert r.stats["level"] == "L2" and r.stats["recogniser"] == "env" and r.stats["matches_kept"] == 440
+
+
+def test_context_goes_before_matches():
+    r = slim(search_text(20, 19), Config(view="lossless", max_tokens=3500))
+    assert r.stats["level"] == "L1-matches" and "all 380 matches in 20 files" in r.text
+
+
+@pytest.mark.parametrize("view", ["notes", "coverage"])
+@pytest.mark.parametrize("budget", [600, 2000])
+@pytest.mark.parametrize("query", [None, Query("compute alpha", "", "compute")])
+def test_budget_and_subset(view, budget, query):
+    raw = search_text()
+    r = slim(raw, Config(view=view, max_tokens=budget), query=query)
+    assert reading.tokens(r.text) <= budget + 60
+    assert 0 < r.stats["matches_kept"] < r.stats["matches_total"] == 600
+    mine = {(x.path, x.number, x.text) for x in reading.read(raw).rows}
+    body = "\n".join(x for x in r.text.splitlines() if not x.startswith(("[linesift]", "  ")))
+    assert {(x.path, x.number, x.text) for x in reading.read(body, "content").rows} <= mine
+
+
+def test_notes_keep_a_prefix_of_the_files_and_count_the_rest():
+    r = slim(search_text(), Config(max_tokens=1200))
+    kept = list(dict.fromkeys(x.path for x in reading.read(r.text.rpartition("\n")[0], "content").rows))
+    assert kept == [f"src/pkg{i % 3}/file{i}.py" for i in range(len(kept))]
+    assert r.stats["matches_kept"] + sum(r.stats["omitted"].values()) == 600
+
+
+def test_plain_text_passes():
+    raw = "\n".join(f"some words about nothing {i}: a b" for i in range(900))
+    assert slim(raw, Config(max_tokens=100)).text == raw
+
+
+def test_mixed_layouts():
+    raw = "src/\n  a.py:3:x\n  b.py\n    7:y\n    --\n    9-z\n\nc.py\n1:one\n\n[linesift] 3 matches are this same line: same text\n  d.py:1,2\n  e.py:5\nf.py:4:w"
+    got = {(r.path, r.number, r.is_match) for r in reading.read(raw, "content").rows}
+    assert got == {("src/a.py", 3, True), ("src/b.py", 7, True), ("src/b.py", 9, False), ("c.py", 1, True), ("d.py", 1, True), ("d.py", 2, True), ("e.py", 5, True), ("f.py", 4, True)}
+
+
+@pytest.mark.parametrize("raw,kind", [("", "paths"), ("a.py:3\nb.py:4", "count"), ("a/\n  x.py:1\n  y.py:2", "count"), ("a.py:3:x", "content"), ("3:x", "content"), ("a.py\nb.py", "paths"), ('{"type":"begin","data":{}}', "content")])
+def test_kind(raw, kind):
+    assert reading.read(raw).kind == kind
+
+
+def test_lists_read_back():
+    paths = [f"a/b/c{i}.py" for i in range(40)] + ["top.py", "d/"]
+    r = slim("\n".join(paths), Config(view="lossless", max_tokens=400))
+    assert set(reading.read(r.text, "paths").paths) == set(paths)
+    counts = "\n".join(f"a/b/c{i}.py:{i}" for i in range(40))
+    r = slim(counts, Config(view="lossless", max_tokens=400))
+    assert reading.read(r.text, "count").counts == reading.read(counts).counts
+
+
+def test_listing():
+    tree = [f"{'│   ' * d}├── n{i}" for i in range(30) for d in range(4)]
+    r = slim("\n".join(tree), Config(max_tokens=300), kind="lines")
+    assert "deeper than level" in r.text
+    ls = "\n".join([".:", "a", "b", ""] + [x for d in "abc" for x in (f"./{d}/deep:", *(f"file_number_{i}" for i in range(40)), "")])
+    r = slim(ls, Config(max_tokens=200), kind="lines")
+    assert "3 deeper directories not listed (120 entries)" in r.text
+
+
+def test_seen_lines_come_once():
+    raw = search_text(12, 24, False)
+    first = slim(raw, Config(max_tokens=900, view="notes"))
+    shown = {(r.path, r.number, r.text) for r in reading.read(first.text.rpartition("\n")[0], "content").rows}
+    again = slim(raw, Config(max_tokens=900, view="notes"), seen=lambda r: (r.path, r.number, r.text) in shown)
+    assert not shown & {(r.path, r.number, r.text) for r in reading.read(again.text.split("[linesift]")[0], "content").rows if r.is_match}
+    assert "already shown" in again.text
+
+
+LOG = [f"tests/test_a.py::test_{i} PASSED  [ {i}%]" for i in range(60)]
+
+
+def test_pytest_log():
+    raw = "\n".join(["=== test session starts ===", *LOG, "=== FAILURES ===", "____ test_x ____", "E  assert 1 == 2", "=== short test summary info ===", "FAILED tests/test_a.py::test_x", "=== 1 failed, 60 passed in 1.0s ==="])
+    r = compaction.compact(raw, 0)
+    assert r.stats["dropped"] == {"passing/skipped test lines": 60} and "assert 1 == 2" in r.text
+
+
+def test_kept_lines_are_an_ordered_subsequence():
+    raw = "\n".join(f"src/m{i % 3}/a{i % 7}.ts({i},3): error TS{i % 2}: wrong type" for i in range(80))
+    r = compaction.compact(raw, 0)
+    kept = iter(raw.splitlines())
+    assert all(x in kept for x in r.text.splitlines() if not x.startswith("[linesift]"))
+    want = {(x.split("(")[0], x[x.index("(") : x.index(")") + 1]) for x in raw.splitlines()}
+    have = {(x.split("(")[0], x[x.index("(") : x.index(")") + 1]) for x in r.text.splitlines() if x.startswith("src")} | compaction.listed_places(r.text)
+    assert want <= have
+
+
+def test_small_or_incompressible_passes():
+    assert compaction.compact("x" * 100) is None
+    assert compaction.compact("\n".join(f"line {i} {i * i}" for i in range(900)), 0) is None
+
+
+def test_warnings_are_listed():
+    block = lambda i: [f"tests/test_a.py::test_{i}", f"  /src/pkg/mod{i}.py:{i}: DeprecationWarning: old thing is going away soon", f"    call_{i}()", ""]
+    raw = "\n".join(["=== warnings summary ===", *(x for i in range(12) for x in block(i)), "-- Docs: https://x", "=== 12 passed in 1s ==="])
+    r = compaction.compact(raw, 0)
+    assert "11 more places with this same warning" in r.text and all(f"mod{i}.py:{i}" in r.text for i in range(12))
+
+
+def test_log_runs():
+    raw = "\n".join(f"2024-01-01 00:00:{i:02d} waiting for the server to come up" for i in range(50)) + "\ndone " + "z" * 40
+    r = compaction.compact(raw, 0)
+    assert "48 similar lines not shown" in r.text
