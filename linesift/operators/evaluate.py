@@ -111,3 +111,39 @@ def searches_again(calls: DataFrame) -> DataFrame:
     again = words.join(earlier, ["session", "word"]).filter(hit).select("session", "seq").distinct().withColumn("refines", F.lit(True))
     return calls.join(again, ["session", "seq"], "left").withColumn("refines", F.coalesce("refines", F.lit(False)))
 
+
+
+def citations(answers: DataFrame) -> DataFrame:
+    """answers: run, text. run, path, number: places cited as path:N; a bare :N belongs to the path named last before it."""
+    token = r"(?:[\w./\\-]*[\w/\\-]\.\w+)?:[0-9]+"
+    rows = answers.select("run", F.posexplode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("p", "t"))
+    path = F.regexp_extract("t", r"^(.*):[0-9]+$", 1)
+    order = Window.partitionBy("run").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("path", F.last(F.when(path != "", path), ignorenulls=True).over(order))
+    return rows.filter("path is not null").select("run", "path", F.regexp_extract("t", r":([0-9]+)$", 1).cast("bigint").alias("number")).distinct()
+
+
+def cited(targets: DataFrame, citations_: DataFrame, near: int = 2) -> DataFrame:
+    """targets: target, path, first, last. Adds cited: some citation lies in the range, or at most near lines off it.
+
+    Ranges become the lines that they cover, so the join is by equality.
+    """
+    lines = targets.select("target", "path", F.explode(F.sequence(F.col("first") - near, F.col("last") + near)).alias("number"))
+    hit = lines.join(citations_.select("path", "number").distinct(), ["path", "number"]).select("target").distinct().withColumn("cited", F.lit(True))
+    return targets.join(hit, "target", "left").withColumn("cited", F.coalesce("cited", F.lit(False)))
+
+
+def run_metrics(calls: DataFrame, is_search, is_build) -> DataFrame:
+    """calls: run, seq, name, input, result. run, searches, again, reruns, tool_tokens.
+
+    is_search and is_build tell a call's command; again counts searches that refine an earlier one, reruns build
+    commands that were run before in the same spelling.
+    """
+    command = F.coalesce(F.get_json_object("input", "$.command"), F.get_json_object("input", "$.pattern"), F.lit(""))
+    rows = calls.withColumn("key", F.lower(F.trim(F.regexp_replace(command, r"\s+", " "))))
+    rows = rows.withColumn("search", is_search(F.col("name"), F.col("key"))).withColumn("build", is_build(F.col("name"), F.col("key")))
+    found = rows.filter("search").select(F.col("run").alias("session"), "seq", "key")
+    again = searches_again(found).groupBy(F.col("session").alias("run")).agg(F.count_if("refines").alias("again"))
+    reruns = rows.filter("build").groupBy("run", "key").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("run").agg(F.sum("n").alias("reruns"))
+    sums = rows.groupBy("run").agg(F.count_if("search").alias("searches"), F.sum(F.floor((F.char_length(F.coalesce("result", F.lit(""))) + 3) / 4)).cast("bigint").alias("tool_tokens"))
+    return sums.join(again, "run", "left").join(reruns, "run", "left").fillna(0, ["again", "reruns"])

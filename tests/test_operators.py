@@ -94,3 +94,18 @@ def test_failing_progress_is_dropped_when_listed(spark):
     text_ = ["=== test session starts ===", "a.py ..F", "=== short test summary info ===", "FAILED a.py::t"]
     log = spark.createDataFrame([("o", i, t) for i, t in enumerate(text_)], "output_id string, seq long, text string")
     assert [r["seq"] for r in logs.failing_progress(log).filter("label is not null").collect()] == [1]
+
+
+def test_citations(spark):
+    answers = spark.createDataFrame([("r", "See src/a.py:10 and :14, then b/c.go:7.")], "run string, text string")
+    got = evaluate.citations(answers)
+    assert sorted((r["path"], r["number"]) for r in got.collect()) == [("b/c.go", 7), ("src/a.py", 10), ("src/a.py", 14)]
+    targets = spark.createDataFrame([("x", "src/a.py", 16, 18), ("y", "b/c.go", 1, 4), ("z", "src/a.py", 11, 11)], "target string, path string, first long, last long")
+    assert {r["target"]: r["cited"] for r in evaluate.cited(targets, got).collect()} == {"x": True, "y": False, "z": True}
+
+
+def test_run_metrics(spark):
+    rows = [("r", 1, "Bash", '{"command":"rg foo src"}', "x" * 9), ("r", 2, "Bash", '{"command":"rg  foo"}', None), ("r", 3, "Bash", '{"command":"make"}', ""), ("r", 4, "Bash", '{"command":"make"}', "")]
+    calls = spark.createDataFrame(rows, "run string, seq long, name string, input string, result string")
+    r = evaluate.run_metrics(calls, lambda name, key: key.startswith("rg "), lambda name, key: key == "make").first()
+    assert (r["searches"], r["again"], r["reruns"], r["tool_tokens"]) == (2, 1, 1, 3)
