@@ -63,9 +63,9 @@ def names_by_name(lines: DataFrame, pattern: str, group: int = 1) -> DataFrame:
 
 
 def names_by_file(lines: DataFrame, pattern: str, group: int = 1) -> DataFrame:
-    """output_id, path, names: each file with name:line for its matches."""
-    rows = with_names(lines.filter("is_match"), pattern, group).select("output_id", "path", "number", F.posexplode("names").alias("p", "name"))
-    each = F.array_sort(F.collect_list(F.struct("number", "p", F.concat_ws(":", "name", "number").alias("t"))))
+    """output_id, path, names: each file with name:line for its matches, by line, then name."""
+    rows = with_names(lines.filter("is_match"), pattern, group).select("output_id", "path", "number", F.explode("names").alias("name"))
+    each = F.array_sort(F.collect_list(F.struct("number", F.concat_ws(":", "name", "number").alias("t"))))
     return rows.groupBy("output_id", "path").agg(F.array_join(F.transform(each, lambda x: x["t"]), " ").alias("names"))
 
 

@@ -361,7 +361,7 @@ def project_names_by_name(spark, sf_dir):
     return lossless.names_by_name(page_lines(spark, sf_dir), LINK)
 
 
-@query(f"WITH {PAGE_LINES}, {NAMED} SELECT output_id, path, string_agg(name || ':' || number, ' ' ORDER BY number) AS names FROM nm GROUP BY 1, 2")
+@query(f"WITH {PAGE_LINES}, {NAMED} SELECT output_id, path, string_agg(name || ':' || number, ' ' ORDER BY number, name || ':' || number) AS names FROM nm GROUP BY 1, 2")
 def project_names_by_file(spark, sf_dir):
     return lossless.names_by_file(page_lines(spark, sf_dir), LINK)
 
