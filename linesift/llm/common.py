@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand Python workers at most 1,000 rows and 16 MB at a time, from now on in this session: texts may be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        spark.conf.set(key, str(most))
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/linesift/{tag}-{uuid.uuid4().hex}"
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import bounded_batches, by_value
 from .url_filter import url_parts
 
 # Names of HTML elements.
@@ -180,6 +180,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html is empty. A page whose url is null, or has no host, has no neighbours. Repeated rows stay repeated, and
     of pages without a marked article, pages with equal lines empty each other.
     """
+    bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value
+from .common import bounded_batches, by_value
 
 ORDER = 4
 #: Characters of each language that a model is fitted on; as many again, at most, calibrate rejection.
@@ -243,6 +243,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] = [], text_col: str
     Null text, and text without a letter, is `und`, with score 0, a null entropy, and rejected. So is every text if
     the model has no language. Repeated rows stay repeated.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_value, row_hash, same_row, stored
+from .common import bounded_batches, by_value, row_hash, same_row, stored
 from .textnum import chunks, runs, signed, sums, word_hashes
 
 WINDOW = 50
@@ -120,6 +120,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     document with a smaller id. Runs that repeat only inside one document stay. Null and empty text has no words.
     Rows with a null id count as one document after all others; rows that repeat an id are one document.
     """
+    bounded_batches(docs.sparkSession)
     seed = (window + 1) // 2
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash("id", "text"))
