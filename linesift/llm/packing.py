@@ -11,6 +11,8 @@ length; ranks are running sums over parts of the stored pieces, and are never co
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import sys
 import zlib
 from collections import Counter
@@ -22,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, stored
+from .common import bounded_batches, by_value, stored
 
 CAPACITY = 4096
 END = 1
 #: Words whose ids each Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -117,24 +119,52 @@ def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
     return {w: np.array(rows, np.int64) for w, rows in out.items()}
 
 
+# The tokenizer's own way to part a word, for words of ASCII and the letters of Latin-1, lower-cased.
+PLAIN_WORD = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: How byte-level models spell bytes: printable ones as themselves, the others as the characters from 256 on.
+SPELT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELL = {b: b for b in SPELT} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in SPELT)}
+
+
 def encoder(path: str):
-    """bytes of little-endian ids for each word of an iterable; a word is what space, newline or tab parts."""
+    """bytes of little-endian ids for a list of words; a word is what space, newline or tab parts.
+
+    Words that were met before are looked up. A new word of plain characters is parted as the tokenizer parts it,
+    and the tokenizer's model takes each new part; any other word is left to the tokenizer as a whole.
+    """
     kept = sys.__dict__.setdefault("_linesift_words", {})  # one for each Python worker, across tasks
     if path not in kept:
         from tokenizers import Tokenizer
 
-        kept[path] = (Tokenizer.from_file(path), {})
-    tokenizer, ids = kept[path]
+        kept[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, words_, parts = kept[path]
+    model = tokenizer.model
+
+    def packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def part(p: str) -> bytes:
+        out = parts[p] = packed([t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(SPELL))])
+        return out
+
+    def word(w: str) -> bytes:
+        if "<|" in w or not PLAIN_WORD.fullmatch(w):
+            return packed(tokenizer.encode(w, add_special_tokens=False).ids)
+        found = PARTS.findall(w.lower())
+        return b"".join([parts.get(p) or part(p) for p in found])
 
     def encode(words: list[str]) -> bytes:
         try:
-            return b"".join(map(ids.__getitem__, words))
+            return b"".join(map(words_.__getitem__, words))
         except KeyError:
-            if len(ids) > REMEMBERED:
-                ids.clear()
-            for w in set(words) - ids.keys():
-                ids[w] = np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            return b"".join(map(ids.__getitem__, words))
+            for d in (words_, parts):
+                if len(d) > REMEMBERED:
+                    d.clear()
+            for w in words:
+                if w not in words_:
+                    words_[w] = word(w)
+            return b"".join(map(words_.__getitem__, words))
 
     return encode
 
@@ -190,6 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     capacity ids, the last maybe shorter. Rows with a null id, and repeated rows, are packed like any other. An
     empty table gives no pieces. tokenizer: the path of its file, the same on all machines.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
