@@ -77,7 +77,8 @@ class PositionalIndex:
 
     def _candidates(self) -> DataFrame:
         posts = self.postings.filter(F.col("pos").isNotNull())
-        return posts.join(small(self.anchors, BROADCAST_TERMS), "term")
+        held = self.anchors.agg(F.sum(F.size("wins"))).first()[0] or 0  # windows of n words each, whatever the rows
+        return posts.join(F.broadcast(self.anchors) if held <= BROADCAST_TERMS else self.anchors, "term")
 
     def phrases(self) -> DataFrame:
         """Exact occurrences: id, row, pos (of the posting), starts: array of (start, length, items)."""
