@@ -61,7 +61,7 @@ def scan(text: Column, rules=RULES) -> Column:
 
 
 class BlobLedger:
-    """Two append-only tables below path: scanned (blob, rules) and findings (blob, rules, spans).
+    """Two append-only tables below path: scanned (blob, rules) and findings (blob, rules, spans; a row for each scan).
 
     scanned is written after findings, so a run that dies between them is repeated; a blob scanned twice has equal
     findings, of which one is read.
@@ -94,9 +94,10 @@ class BlobLedger:
         unseen = first.join(self.scanned().filter(F.col("rules") == version), "blob", "left_anti").select("blob", F.col("first.id").alias("id"), F.col("first.row").alias("row"))
         to_scan = same_row(texts.withColumn("row", row_hash("id", "text")), unseen, "left_semi")
         blobs = to_scan.select(F.sha2("text", 256).alias("blob"), F.lit(version).alias("rules"), scan(F.col("text"), rules).alias("spans"))
-        blobs.filter(F.size("spans") > 0).write.mode("append").parquet(f"{self.path}/findings")
+        # Blobs without findings are written too: a filter on spans would be moved below the join, and scan every row.
+        blobs.write.mode("append").parquet(f"{self.path}/findings")
         unseen.select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
-        found = self.findings().filter(F.col("rules") == version).groupBy("blob").agg(F.first("spans").alias("spans"))
+        found = self.findings().filter((F.col("rules") == version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
         return versions.join(found, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(FINDING)).alias("spans"))
 
 
