@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesift.llm import decontam, exact_dedup, lang_id, near_dedup, packing
-from linesift.llm.common import stored
+from linesift.llm.common import row_hash, same_row, stored
 from linesift.llm.queries import tokenizer_path
 
 
@@ -28,6 +28,12 @@ def _among(docs: DataFrame, key: str, kept: DataFrame) -> DataFrame:
     return docs.join(kept, docs[key].eqNullSafe(kept["_kept"]), "left_semi")
 
 
+def _judged(docs: DataFrame, id_: str, text: str, kept: DataFrame) -> DataFrame:
+    """The rows of docs that are in kept, a table of ids and rows. Each row goes by its own text, also where others share its id, or lack one too."""
+    rows = docs.withColumns({"id": F.col(id_), "row": row_hash(id_, text)})
+    return same_row(rows, kept.select("id", "row").distinct(), "left_semi").drop("id", "row")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go: those without letters, and those that fit no language's model."""
     rows, id_, text, lang = _numbered(docs)
@@ -46,15 +52,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, similarity 0.8), the document with the smallest doc_id stays."""
     rows, id_, text, _ = _numbered(docs)
-    return _among(rows, id_, near_dedup.near_dedup(rows, id_, text).filter("kept").select(id_)).toDF(*docs.columns)
+    return _judged(rows, id_, text, near_dedup.verdicts(rows, id_, text).filter("kept")).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of any benchmark item go: here one item is enough."""
     rows, id_, text, _ = _numbered(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    clean = decontam.PositionalIndex(rows, bench, id_, text).report(least_items=1).filter(~F.col("contaminated"))
-    return _among(rows, id_, clean.select(id_)).toDF(*docs.columns)
+    clean = decontam.PositionalIndex(rows, bench, id_, text).verdicts(least_items=1).filter(~F.col("contaminated"))
+    return _judged(rows, id_, text, clean).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,6 +102,10 @@ class PositionalIndex:
 
     def report(self, least_items: int = 2) -> DataFrame:
         """Per row of docs: the id, n_words, n_hit, n_items, items_sha256, contaminated."""
+        return self.verdicts(least_items).drop("row").withColumnRenamed("id", self.id_col)
+
+    def verdicts(self, least_items: int = 2) -> DataFrame:
+        """report() with the id as id, and row: rows that share an id may differ in their verdicts (see row_hash)."""
         # One row of a document each, and those with hits: repeated documents give their number back.
         heads = self.postings.filter(F.col("pos").isNull()).select("id", "row", "n_words", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<struct<start:int,long:int,items:array<bigint>>>").alias("starts"))
         hits = self.phrases()
@@ -111,8 +115,8 @@ class PositionalIndex:
         )
         covered = F.flatten(F.transform(F.array_distinct(F.transform("hits", lambda h: F.struct(h["start"], h["long"]))), lambda h: F.sequence(h["start"], h["start"] + h["long"] - 1)))
         items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))), lambda i: i.cast("string")))
-        rows = rows.select("id", "n_words", F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"), items.alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_"))
+        rows = rows.select("id", "row", "n_words", F.size(F.array_distinct(covered)).cast("bigint").alias("n_hit"), items.alias("items"), F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_"))
         return rows.select(
-            F.col("id").alias(self.id_col), "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+            "id", "row", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
             F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") >= least_items).alias("contaminated"),
         )

@@ -166,6 +166,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     BANDS bands of ROWS rows: a pair at similarity 0.8 shares none with a probability of 5e-8, and meets in a family
     by way of others even then.
     """
+    return verdicts(docs, id_col, text_col, k, percent).drop("row").withColumnRenamed("id", id_col)
+
+
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """near_dedup() with the id as id, and row: rows that share an id may differ in kept (see row_hash)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -193,4 +198,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = own.join(roots, ["s1", "s2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("root", "id_")).otherwise(F.col("id_"))
     component = F.when(F.col("id").isNotNull(), component)
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), component.eqNullSafe(F.col("id_")).alias("kept"))
+    return found.select("id", "row", F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), component.eqNullSafe(F.col("id_")).alias("kept"))

@@ -35,6 +35,22 @@ def test_stages(spark, tmp_path):
     assert ids["packing"] == ids["decontamination"]
 
 
+def test_rows_that_share_an_id_go_by_their_own_text(spark, tmp_path):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(30))
+    item, clean, other, copy, last = text(), text(), text(), text(), text()
+    bad = [f"{text()} {item} {text()}" for _ in range(3)]
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda *rows: spark.createDataFrame([(i, t, "en", 7, 8) for i, t in rows], "doc_id long, text string, lang string, id long, row long")
+    rows = lambda df: sorted([(r["doc_id"], r["text"]) for r in df.collect()], key=repr)
+    docs = table((None, clean), (None, bad[0]), (None, bad[1]), (None, None), (5, other), (5, bad[2]), (6, last), (6, last), (7, bad[0]))
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and rows(got) == sorted([(None, clean), (None, None), (5, other), (6, last), (6, last)], key=repr)
+    docs = table((3, copy), (5, copy.upper()), (5, other), (None, copy), (None, clean), (6, last), (6, last))
+    got = corpus_pipeline.near(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and rows(got) == sorted([(3, copy), (5, other), (None, copy), (None, clean), (6, last), (6, last)], key=repr)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
