@@ -5,8 +5,10 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +25,29 @@ def by_value(name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local run (one JVM) takes a temporary folder; on a cluster that is an error, since each
+    executor would write to its own disk.
+    """
     global _own_dir
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="linesift-")
         folder = f"file://{_own_dir}"
     return folder.rstrip("/")
 
 
+def integral(df: DataFrame, id_col: str) -> str:
+    """The type of an id column, which has to be integral: components and smallest ids are kept as bigint."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {kind}; this operator takes integer ids")
+    return kind
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Hand Python workers at most 1,000 rows and 16 MB at a time, from now on in this session: texts may be long."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
@@ -42,6 +58,16 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/linesift/{tag}-{uuid.uuid4().hex}"
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet files at a path, or None if there is no such path. Any other failure is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
@@ -70,23 +96,53 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def bloom_mask(h: Column) -> Column:
-    """Three bits of a 64-bit block, from a 64-bit hash whose lower half picks the block."""
-    bit = lambda shift: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(63)).cast("int"))
-    return bit(32).bitwiseOR(bit(39)).bitwiseOR(bit(46))
+#: A key is hot if it holds more than this share of the rows, so at most 1 / HOT_SHARE keys are hot.
+HOT_SHARE = 0.002
+
+
+def join_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of rows with one row a key, whose column n counts the key's rows (of total); n is dropped.
+
+    Rows of hot keys meet their keys in a broadcast of at most 1 / HOT_SHARE rows of fixed width, so they stay where
+    they are; the others are shuffled.
+    """
+    least = max(100, int(total * HOT_SHARE))
+    hot = keys.filter(F.col(n) > least).drop(n).withColumn("_hot", F.lit(True))
+    tagged = rows.join(F.broadcast(hot), on, "left")
+    cold = tagged.filter(F.col("_hot").isNull()).select(rows.columns).join(keys.filter(F.col(n) <= least).drop(n), on, how)
+    return tagged.filter(F.col("_hot").isNotNull()).drop("_hot").unionByName(cold)
+
+
+def bloom_blocks(keys: int) -> int:
+    """Blocks of 64 bits for so many keys: 16 bits a key, rounded up to a power of two.
+
+    At most MOST_BLOCKS (4 MB): that holds a million keys as well, and for more keys it lets more through, which the
+    exact join behind it takes out.
+    """
+    return min(MOST_BLOCKS, max(16, 1 << (max(keys, 1) // 4).bit_length()))
+
+
+MOST_BLOCKS = 1 << 19
+
+
+def _bit(h: Column, i: int) -> Column:
+    """The place of the i-th bit of a hash in its block."""
+    return F.shiftrightunsigned(h, 32 + 7 * i).bitwiseAND(F.lit(63)).cast("int")
 
 
-def bloom_block(h: Column, blocks: int) -> Column:
-    return F.pmod(h.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(blocks)).cast("int")
+def _block(h: Column, blocks: int) -> Column:
+    return h.bitwiseAND(F.lit(blocks - 1)).cast("int")
 
 
 def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> Column:
-    """A blocked Bloom filter of a column, as a literal array of 64-bit blocks.
+    """A blocked Bloom filter of a column, as a literal array of 64-bit blocks. 8 * blocks bytes go to the driver.
 
-    Its size is fixed by blocks, whatever the number of keys: 8 * blocks bytes go to the driver.
+    Take blocks, a power of two, from bloom_blocks() of the counted keys.
     """
     h = F.xxhash64(F.col(key))
-    words = keys.select(bloom_block(h, blocks).alias("b"), bloom_mask(h).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
+    one = F.lit(1).cast("bigint")
+    mask = reduce(lambda a, b: a.bitwiseOR(b), (F.call_function("shiftleft", one, _bit(h, i)) for i in range(3)))
+    words = keys.select(_block(h, blocks).alias("b"), mask.alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
     filled = [0] * blocks
     for b, m in words.collect():
         filled[b] = m
@@ -94,9 +150,10 @@ def blocked_bloom(keys: DataFrame, key: str, blocks: int) -> Column:
 
 
 def might_contain(bloom: Column, key: Column, blocks: int) -> Column:
+    """The bits are tested one by one: most keys fail the first, and are hashed once."""
     h = F.xxhash64(key)
-    mask = bloom_mask(h)
-    return F.element_at(bloom, bloom_block(h, blocks) + 1).bitwiseAND(mask) == mask
+    one = F.lit(1).cast("bigint")
+    return reduce(lambda a, b: a & b, (F.call_function("shiftrightunsigned", F.get(bloom, _block(h, blocks)), _bit(h, i)).bitwiseAND(one) == one for i in range(3)))
 
 
 def same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

@@ -5,8 +5,9 @@ filled by optimal densification. Bands of the signature are bucketed. A bucket o
 edges, a star around its smallest member, so the number of pairs stays in proportion to the members. The
 components of the stars are families: sets that could be linked meet in one. Inside a family, links are
 confirmed on full sets: postings of the family's shingles give every intersection exactly. Families beyond a
-bound are cut into blocks, and pairs of blocks are confirmed by tasks of their own. Only a spanning forest of the
-links leaves a task.
+bound are cut into blocks. Once each block is confirmed, only members outside the family's largest component so far
+meet the other blocks, so a group of near copies of any size costs its size. Only a spanning forest of the links
+leaves a task.
 
 Equal sets are one class from the start, so copies of a text cost nothing.
 """
@@ -20,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value, row_hash, same_row, stored
+from .common import bounded_batches, by_value, integral, join_keys, row_hash, same_row, stored
 from .components import components
-from .textnum import U, chunks, fmix, runs, signed, sums, word_hashes
+from .textnum import U, chunks, digest, fmix, run_hashes, signed, word_hashes
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-#: Members of a family that one task takes; a larger family is cut into blocks of this many.
-BLOCK = 2_000
+#: Members of a family, and shingles of all of them, that one task takes; a larger family is cut into blocks.
+BLOCK, BLOCK_SHINGLES = 2_000, 4_000_000
 
 
 def encoded(texts: pd.Series) -> list[bytes]:
@@ -35,14 +36,13 @@ def encoded(texts: pd.Series) -> list[bytes]:
 
 
 def shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
-    """Each text's set of hashed k-word shingles, sorted; the whole sequence where it has fewer words."""
-    words, first = word_hashes(texts)
-    total = sums(words, "word")
-    starts = np.arange(max(0, len(words) - k + 1))
-    every = runs(total, starts, starts + k, "word")
+    """Each text's set of k-word shingles as sorted 64-bit hashes; the whole sequence where it has fewer words."""
+    (words, _), first = word_hashes(texts)
+    long = np.diff(first)
+    runs = {n: run_hashes(words, n, 0) for n in {k, *np.unique(long[long < k]).tolist()} - {0}}
     out = []
-    for a, b in zip(first[:-1], first[1:]):
-        out.append(np.unique(every[a : b - k + 1]) if b - a >= k else runs(total, np.array([a]), np.array([b]), "word") if b > a else np.empty(0, U))
+    for a, n in zip(first[:-1], long):
+        out.append(np.unique(runs[k][a : a + n - k + 1]) if n >= k else runs[n][a : a + 1] if n else np.empty(0, U))
     return out
 
 
@@ -80,9 +80,8 @@ def sign_rows(k: int):
                         key = fmix(key * U(0x9E3779B97F4A7C15) + sig[:, :, r])
                     for x, row in zip(some, signed(key)):
                         bands[x] = row
-                s1 = np.array([np.add.reduce(fmix(s)) if len(s) else U(0) for s in sets], U)
-                s2 = np.array([np.add.reduce(fmix(s ^ U(0xA5A5A5A5A5A5A5A5))) if len(s) else U(0) for s in sets], U)
-                yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "row": pdf["row"].iloc[i:j].to_numpy(), "n": size, "s1": signed(s1), "s2": signed(s2), "bands": bands})
+                whole = [digest(s.tobytes()) for s in sets]
+                yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "row": pdf["row"].iloc[i:j].to_numpy(), "n": size, "s1": [x[0] for x in whole], "s2": [x[1] for x in whole], "bands": bands})
 
     return run
 
@@ -133,7 +132,7 @@ def link_rows(k: int, percent: int):
             sets = []
             for i, j in chunks(texts):
                 sets += shingles(texts[i:j], k)
-            return confirmed(nodes, sets, percent, sides if key[1] != key[2] else None) if len(nodes) > 1 else []
+            return confirmed(nodes, sets, percent, sides if any(sides) else None) if len(nodes) > 1 else []
 
         out = []
         for pdf in batches:
@@ -158,44 +157,76 @@ by_value(__name__)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: the id, n_shingles, component_id (the smallest id that links reach) and kept.
+    """Per row: the id (an integer), n_shingles, component_id (the smallest id that links reach) and kept.
 
     Two texts are linked if 100 * shared shingles >= percent * shingles of either. Words are what ASCII white space
     parts, after lower-casing A-Z. A text without words, and a row with a null id, is linked with nothing (the
     latter's component_id is null, and it is kept). Rows that repeat an id are one document. Candidates come from
     BANDS bands of ROWS rows: a pair at similarity 0.8 shares none with a probability of 5e-8, and meets in a family
-    by way of others even then.
+    by way of others even then. An empty table gives no rows; of docs only the two columns are read.
     """
     return verdicts(docs, id_col, text_col, k, percent).drop("row").withColumnRenamed("id", id_col)
 
 
+def _links(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links that tasks confirm. placed: node, id, row, family, x, y, side; a task is a family, x and y."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = same_row(texts, placed, "inner").select("family", "x", "y", "node", "text", "side")
+    tasks = tasks.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return stored(tasks.mapInPandas(link_rows(k, percent), "a bigint, b bigint"), "confirmed")
+
+
+def _across(members: DataFrame, links: DataFrame) -> DataFrame | None:
+    """What is left to confirm in families of several blocks, as tasks; None if nothing is.
+
+    members: node, id, row, family, n, blocks, own. Members that are joined already need no check. A family's largest
+    component is taken as settled, and only the members outside it meet all the others, block by block.
+    """
+    found = components(links.join(members.select(F.col("node").alias("a")), "a", "left_semi"))
+    now = stored(members.join(found, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "settling")
+    sizes = now.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"))
+    largest = sizes.groupBy("family").agg(F.max_by("c", F.struct("m", "c")).alias("largest"))
+    rest = now.join(largest, "family").filter("c <> largest").drop("largest")
+    split = _blocks(rest).select("family", F.col("blocks").alias("others"))
+    rest = stored(rest.join(split, "family"), "unsettled")
+    if rest.isEmpty():
+        return None
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = now.join(split, "family").select("node", "id", "row", "family", F.col("own").alias("x"), spread("others").alias("y"), F.lit(0).alias("side"))
+    guest = rest.withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), "others").cast("int"))
+    return home.unionByName(guest.select("node", "id", "row", "family", spread("blocks").alias("x"), "y", F.lit(1).alias("side")))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """family, blocks: how many tasks' worth of members, or of shingles, a family has."""
+    return members.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+
+
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """near_dedup() with the id as id, and row: rows that share an id may differ in kept (see row_hash)."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = integral(docs, id_col)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash("id", "text"))
     signed_rows = stored(texts.mapInPandas(sign_rows(k), f"id {kind}, row bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "signed")
     some = signed_rows.filter("n > 0 and id is not null")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row", "bands")).alias("first"))
-    classes = stored(classes.select("s1", "s2", "n", F.col("first.id").cast("bigint").alias("node"), "first.id", "first.row", "first.bands"), "classes")
+    classes = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row", "bands")).alias("first"), F.count(F.lit(1)).alias("m"))
+    classes = stored(classes.select("s1", "s2", "n", "m", F.col("first.id").cast("bigint").alias("node"), "first.id", "first.row", "first.bands"), "classes")
     members = classes.select("node", F.explode("bands").alias("bucket"))
-    stars = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", "b")
-    edges = members.join(stars, "bucket").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    families = stored(components(edges), "families")
-    sizes = families.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = families.join(sizes, "root").select("node", F.col("root").alias("family"), "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("own"))
-    placed = classes.select("node", "id", "row").join(placed, "node")
-    tasks = same_row(texts, placed, "inner")
-    tasks = tasks.select("family", "node", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tasks = tasks.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "text", (F.col("own") > F.col("other")).cast("int").alias("side"))
-    tasks = tasks.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
-    links = stored(tasks.mapInPandas(link_rows(k, percent), "a bigint, b bigint"), "confirmed")
-    roots = components(links)
-    roots = classes.join(roots, "node", "left").select("s1", "s2", "n", F.coalesce("root", "node").alias("root"))
-    own = signed_rows.withColumn("id_", F.col("id").cast("bigint"))
-    found = own.join(roots, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "id_")).otherwise(F.col("id_"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return found.select("id", "row", F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), component.eqNullSafe(F.col("id_")).alias("kept"))
+    stars = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    edges = join_keys(members, stars, ["bucket"], "m", BANDS * classes.count()).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    families = components(edges).select("node", F.col("root").alias("family"))
+    families = classes.select("node", "id", "row", "n").join(families, "node")
+    members = stored(families.join(_blocks(families), "family").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "families")
+    own = members.select("node", "id", "row", "family", F.col("own").alias("x"), F.col("own").alias("y"), F.lit(0).alias("side"))
+    # The family's smallest member visits each block, so that near copies of it are one component at once.
+    visits = members.filter("node = family and blocks > 1").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("x <> own")
+    links = _links(texts, own.unionByName(visits.select("node", "id", "row", "family", "x", F.col("x").alias("y"), F.lit(0).alias("side"))), k, percent)
+    wide = members.filter("blocks > 1")
+    if not wide.isEmpty() and (tasks := _across(wide, links)) is not None:
+        links = links.unionByName(_links(texts, tasks, k, percent))
+    roots = classes.join(components(links), "node", "left").select("s1", "s2", "n", "m", F.coalesce("root", "node").alias("root"))
+    judged = join_keys(some, stored(roots, "roots"), ["s1", "s2", "n"], "m", signed_rows.count()).select("id", "row", "n", F.col("root").alias("component"))
+    alone = signed_rows.filter("n = 0 or id is null").select("id", "row", "n", F.col("id").cast("bigint").alias("component"))
+    found = judged.unionByName(alone)
+    return found.select("id", "row", F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), F.col("component").eqNullSafe(F.col("id").cast("bigint")).alias("kept"))

@@ -1,16 +1,28 @@
-"""Hashes of the words of many texts at once, with numpy: no loop over words."""
+"""Hashes of the words of many texts at once, with numpy: no loop over words but a look-up.
+
+A word's hash is the 128 bits of XXH3, kept as two columns (lanes) of 64 bits. A run of n words is hashed by doubling:
+the hash of 2m words is a mix of the hashes of its halves, so log2(n) passes over the arrays give the hash of the run
+that starts at each word. The mix is no polynomial, and each lane mixes its own half of the word hashes, so runs that
+differ share both lanes with a probability of about 2**-128, whatever their words repeat.
+"""
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 U = np.uint64
-BLANK = np.zeros(256, bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes that are hashed at once, unless one text is longer.
+#: Bytes that are hashed at once.
 CHUNK = 1 << 21
+#: Words whose hashes each Python worker remembers, and the longest word that it does.
+REMEMBERED, LONGEST = 300_000, 64
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Odd multipliers of the lanes.
+LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
 
 def fmix(x: np.ndarray) -> np.ndarray:
@@ -20,42 +32,76 @@ def fmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-BYTE = fmix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-BASES = {"byte": 0x5851F42D4C957F2D, "word": 0x2545F4914F6CDD1D, "other": 0xD6E8FEB86659FD93}
-_powers: dict = {}
-
-
-def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n of a base, and of its inverse, modulo 2**64."""
-    up, down = _powers.get(kind, (None, None))
-    if up is None or len(up) <= n:
-        size = max(n + 1, CHUNK + 4096)
-        up, down = _powers[kind] = tuple(np.cumprod(np.concatenate((np.ones(1, U), np.full(size, b, U)))) for b in (BASES[kind], pow(BASES[kind], -1, 1 << 64)))
-    return up, down
-
-
-def sums(values: np.ndarray, kind: str) -> np.ndarray:
-    """Running sums from which runs() has the hash of any run of values."""
-    out = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(kind, len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
-def runs(total: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> np.ndarray:
-    return fmix((total[end] - total[start]) * powers(kind, len(total))[1][start] + (end - start).astype(U))
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the place of each text's first word (with the total as the last)."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    blank = BLANK[data]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    if len(data) and not blank[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[::2], edge[1::2]
-    total = sums(BYTE[data], "byte")
-    first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
-    return runs(total, start, end, "byte"), np.searchsorted(start, first)
+class Words(dict):
+    """The place of each word's digest in digests. Long words are hashed each time."""
+
+    def __init__(self):
+        self.digests = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        at = len(self.digests) >> 4
+        self.digests += xxhash.xxh3_128_digest(word)
+        if len(word) <= LONGEST:
+            self[word] = at
+        return at
+
+
+def parts(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about CHUNK bytes that end between words."""
+    at = 0
+    while len(text) - at > CHUNK and (m := BLANK.search(text, at + CHUNK)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:] if at else text
+
+
+def word_hashes(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both lanes of the hash of each word, and the place of each text's first word (with the total as the last)."""
+    seen = sys.__dict__.get("_linesift_hashed")  # one for each Python worker, across tasks
+    if seen is None or len(seen.digests) > 16 * REMEMBERED:
+        seen = sys.__dict__["_linesift_hashed"] = Words()
+    places, first = [], np.zeros(len(texts) + 1, np.int64)
+    for i, text in enumerate(texts):
+        n = 0
+        for part in parts(text):
+            words = part.split()  # bytes.split() parts at the six ASCII blanks
+            places.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
+            n += len(words)
+        first[i + 1] = first[i] + n
+    table = np.frombuffer(bytes(seen.digests), U).reshape(-1, 2)
+    at = np.concatenate(places) if places else np.empty(0, np.int64)
+    return [table[at, 0], table[at, 1]], first
+
+
+def joined(left: np.ndarray, right: np.ndarray, lane: int, long: int) -> np.ndarray:
+    """The hash of runs of long words from those of their first and second parts."""
+    return fmix((left ^ (left >> U(29))) * U(LANES[lane]) + right + U(long))
+
+
+def run_hashes(words: np.ndarray, n: int, lane: int) -> np.ndarray:
+    """One lane of the hash of the n words from each place on (of len(words) - n + 1 places)."""
+    if len(words) < n:
+        return np.empty(0, U)
+    out, long, power, size = None, 0, words, 1
+    while True:
+        if n & size:  # the run is made of powers of two, the smallest first
+            if out is None:
+                out, long = power, size
+            else:
+                k = len(words) - long - size + 1
+                out, long = joined(out[:k], power[long : long + k], lane, long + size), long + size
+        size *= 2
+        if size > n:
+            return out
+        half = size // 2
+        k = len(words) - size + 1
+        power = joined(power[:k], power[half : half + k], lane, size)
+
+
+def digest(data: bytes) -> tuple[int, int]:
+    """128 bits as two signed integers."""
+    raw = xxhash.xxh3_128_digest(data)
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
