@@ -12,33 +12,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
-
-#: A group of copies is hot if it holds more than this share of a batch, so at most 1 / HOT_SHARE groups are hot.
-HOT_SHARE = 0.002
+from .bucketed import BucketedTable
+from .common import join_keys, new_path, stored
 
 
 class DigestIndex:
     """A bucketed table of the digests seen so far: digest binary, keep_id, group_size, batch.
 
-    path: where the table lies (by default a new folder in the shared folder); an existing one is opened again.
+    path: where the table lies (by default a new folder in the shared folder). An existing one is opened again, with
+    the number of buckets that it was made with.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, id_type: str = "bigint"):
         self.spark, self.path = spark, path or new_path(spark, "digests")
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"digests_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, keep_id {id_type}, group_size BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
-        )
-
-    def table(self) -> DataFrame:
-        return self.spark.table(self.name)
+        self.columns, self.buckets = f"digest BINARY, keep_id {id_type}, group_size BIGINT, batch STRING", buckets
 
-    def append(self, rows: DataFrame) -> None:
-        rows = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.name)
+    def open(self) -> BucketedTable:
+        return BucketedTable(self.spark, self.path, self.columns, "digest", self.buckets)
 
     def ingest(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Decide about each row of a batch, and append its new digests.
@@ -46,22 +36,22 @@ class DigestIndex:
         Returns, per row: the id, keep_id, group_size (rows of the batch that first brought the text), kept and
         text_sha256. Of equal texts in one batch the largest id stays; a text that an earlier batch brought keeps
         that batch's row. Null text counts as empty. A null id stays only if no row of its group has an id. Rows
-        that repeat an id and its text are equal in everything, and so are all kept or all dropped.
+        that repeat an id and its text are equal in everything, and so are all kept or all dropped. An empty batch
+        gives no rows; other columns of the batch are not read. The result is written before this returns, so later
+        batches don't change it.
         """
         rows = stored(batch.select(F.col(id_col).alias("id"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")), "batch")
-        groups = rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        fresh = groups.hint("merge").join(self.table().select("digest"), "digest", "left_anti")
-        self.append(fresh.select("digest", "keep_id", "group_size", F.lit(uuid.uuid4().hex).alias("batch")))
-        known = self.table().select("digest", "keep_id", "group_size")
-        least = max(100, int(rows.count() * HOT_SHARE))
-        # Rows of hot groups meet the index in a broadcast of at most 1 / HOT_SHARE fixed-width rows, the others in a sort-merge join.
-        hot = groups.filter(F.col("group_size") > least).join(known.withColumnsRenamed({"keep_id": "k", "group_size": "n"}), "digest").select("digest", "k", "n")
-        split = rows.join(F.broadcast(hot), "digest", "left")
-        cold = split.filter(F.col("n").isNull()).select("id", "digest").hint("merge").join(known, "digest")
-        found = cold.select("id", "digest", "keep_id", "group_size").unionByName(
-            split.filter(F.col("n").isNotNull()).select("id", "digest", F.col("k").alias("keep_id"), F.col("n").alias("group_size"))
-        )
-        return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        # Written first: an anti-join right above the aggregate would be moved below it, and meet every row.
+        groups = stored(rows.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
+        with self.open() as index:
+            fresh = groups.hint("merge").join(index.rows().select("digest"), "digest", "left_anti")
+            index.append(fresh.select("digest", "keep_id", "group_size", F.lit(uuid.uuid4().hex).alias("batch")))
+            # One row a digest of the batch, with how many rows of the batch have it.
+            known = index.rows().select("digest", "keep_id", F.col("group_size").alias("first_size"))
+            known = stored(groups.select("digest", F.col("group_size").alias("m")).hint("merge").join(known, "digest"), "known")
+        found = join_keys(rows, known, ["digest"], "m", rows.count())
+        out = found.select("id", "keep_id", F.col("first_size").alias("group_size"), F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+        return out.withColumnRenamed("id", id_col)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
