@@ -8,12 +8,13 @@ to all of them. No Python runs on the executors.
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import quote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, row_hash, same_row, stored
+from .bucketed import BucketedTable
+from .common import join_keys, new_path, row_hash, same_row, stored
 
 # The base rules, as (kind, pattern, group that is measured, least code points of it). A run that is
 # long enough is found by its least length at once, where a failing match can't swallow the start of another.
@@ -61,44 +62,48 @@ def scan(text: Column, rules=RULES) -> Column:
 
 
 class BlobLedger:
-    """Two append-only tables below path: scanned (blob, rules) and findings (blob, rules, spans; a row for each scan).
+    """Two append-only tables for each rule version, below path: scanned (blob) and findings (blob, spans; none for a blob
+    without findings). Both are bucketed and sorted by blob, so a batch is joined with a version's ledger without moving it.
 
     scanned is written after findings, so a run that dies between them is repeated; a blob scanned twice has equal
     findings, of which one is read.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or new_path(spark, "ledger")
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path, self.buckets = spark, path or new_path(spark, "ledger"), buckets
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing is written yet
-            return self.spark.createDataFrame([], schema)
+    def _open(self, name: str, version: str) -> BucketedTable:
+        columns = "blob STRING" + (f", spans {FINDING}" if name == "findings" else "")
+        return BucketedTable(self.spark, f"{self.path}/{quote(version, safe='')}/{name}", columns, "blob", self.buckets)
 
-    def scanned(self) -> DataFrame:
-        return self._read("scanned", "blob string, rules string")
-
-    def findings(self) -> DataFrame:
-        return self._read("findings", f"blob string, rules string, spans {FINDING}")
+    def scanned(self, version: str = RULE_VERSION) -> list[str]:
+        """The blobs that were scanned under a rule version, for small ledgers and tests."""
+        with self._open("scanned", version) as table:
+            return [r["blob"] for r in table.rows().collect()]
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules=RULES, version: str = RULE_VERSION) -> DataFrame:
         """Scan what is new, and return per row: the id, blob and spans (an array, empty without findings).
 
-        Null text is the empty blob. Rows with a null id, and repeated rows, keep their number.
+        Null text is the empty blob. Rows with a null id, and repeated rows, keep their number. An empty table gives
+        no rows; other columns are not read. The result doesn't change with later batches.
         """
         texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         versions = stored(texts.select("id", F.sha2("text", 256).alias("blob"), row_hash("id", "text").alias("row")), "versions")
-        # One row of each unseen blob is its representative; only ids and hashes are shuffled to find it.
-        first = versions.groupBy("blob").agg(F.min(F.struct("id", "row")).alias("first"))
-        unseen = first.join(self.scanned().filter(F.col("rules") == version), "blob", "left_anti").select("blob", F.col("first.id").alias("id"), F.col("first.row").alias("row"))
-        to_scan = same_row(texts.withColumn("row", row_hash("id", "text")), unseen, "left_semi")
-        blobs = to_scan.select(F.sha2("text", 256).alias("blob"), F.lit(version).alias("rules"), scan(F.col("text"), rules).alias("spans"))
-        # Blobs without findings are written too: a filter on spans would be moved below the join, and scan every row.
-        blobs.write.mode("append").parquet(f"{self.path}/findings")
-        unseen.select("blob", F.lit(version).alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
-        found = self.findings().filter((F.col("rules") == version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
-        return versions.join(found, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(FINDING)).alias("spans"))
+        # One row of each blob represents it; only ids and hashes are shuffled to find it. Written first: an anti-join
+        # right above the aggregate would be moved below it, and meet every row.
+        first = stored(versions.groupBy("blob").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("m")), "blobs")
+        with self._open("scanned", version) as scanned, self._open("findings", version) as findings:
+            unseen = stored(first.hint("merge").join(scanned.rows(), "blob", "left_anti").select("blob", F.col("first.id").alias("id"), F.col("first.row").alias("row")), "unseen")
+            to_scan = same_row(texts.withColumn("row", row_hash("id", "text")), unseen.select("id", "row"), "left_semi")
+            # Written whole before it is filtered: a filter on spans would be moved below the join, and scan every row.
+            blobs = stored(to_scan.select(F.sha2("text", 256).alias("blob"), scan(F.col("text"), rules).alias("spans")), "scans")
+            findings.append(blobs.filter(F.size("spans") > 0).dropDuplicates(["blob"]))
+            scanned.append(unseen.select("blob"))
+            found = findings.rows().groupBy("blob").agg(F.first("spans").alias("spans"))
+            # Findings of hot blobs meet their paths in a broadcast; see join_keys.
+            found = stored(first.select("blob", "m").hint("merge").join(found, "blob"), "found")
+        out = join_keys(versions, found, ["blob"], "m", versions.count(), "left")
+        return out.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(FINDING)).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
