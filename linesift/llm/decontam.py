@@ -16,11 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, blocked_bloom, let, might_contain, row_hash, small, stored
+from .common import ascii_lower, bloom_blocks, blocked_bloom, let, might_contain, row_hash, small, stored
 
 #: Distinct benchmark terms, or windows, up to which they are broadcast; beyond it they are shuffled.
 BROADCAST_TERMS = 200_000
-BLOOM_BLOCKS = 1 << 12
 
 #: Fixed value: what stands between words.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,11 +61,12 @@ class PositionalIndex:
 
     def _post(self, texts: DataFrame) -> DataFrame:
         """A row of each document with pos null, and one of each posting; around: the words from pos - back on."""
-        bloom = blocked_bloom(self.anchors, "term", BLOOM_BLOCKS)
+        blocks = bloom_blocks(self.anchors.count())
+        bloom = blocked_bloom(self.anchors, "term", blocks)
         reach = self.reach
 
         def post(w: Column) -> Column:
-            at = F.filter(F.transform(w, lambda x, i: F.when(might_contain(bloom, x, BLOOM_BLOCKS), i)), lambda i: i.isNotNull())
+            at = F.filter(F.transform(w, lambda x, i: F.when(might_contain(bloom, x, blocks), i)), lambda i: i.isNotNull())
             return F.struct(F.size(w).cast("bigint").alias("n_words"), F.transform(at, lambda i: F.struct(
                 i.alias("pos"), F.element_at(w, i + 1).alias("term"), F.least(i, F.lit(reach)).alias("back"),
                 F.slice(w, i - F.least(i, F.lit(reach)) + 1, F.least(i, F.lit(reach)) + reach + 1).alias("around"),

@@ -60,12 +60,25 @@ WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url,
 p AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
 rules(verdict, h, q) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
-listed AS (SELECT s || '.example.' || t AS h FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(s), (VALUES ('com'), ('net'), ('org')) b(t)),
 best AS (SELECT page_id, arg_max(h || q, length(h || q)) AS rule, arg_max(verdict, length(h || q)) AS v
-  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id),
-bad AS (SELECT DISTINCT page_id FROM p JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, '/'))
-SELECT page_id, host, path, rule, coalesce(v, CASE WHEN bad.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
-FROM p LEFT JOIN best USING (page_id) LEFT JOIN bad USING (page_id)
+  FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN best USING (page_id)
+"""
+
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 3), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n, min(h) AS least, bit_xor(hash(h)) AS x, sum(hash(h)) AS y FROM sh GROUP BY doc_id),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, least, x, y) AS rep FROM n),
+rep AS (SELECT doc_id, n FROM class WHERE doc_id = rep),
+held AS (SELECT doc_id, n, h FROM sh JOIN rep USING (doc_id)),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM held a JOIN held b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, a.n, b.doc_id, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+both_ways AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT doc_id, doc_id FROM rep UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+root AS (SELECT a AS rep, min(b) AS root FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN class USING (doc_id) LEFT JOIN root USING (rep)
 """
 
 OP7 = r"""
@@ -96,6 +109,7 @@ ORACLES = {
     "op1_decontamination": OP1,
     "op4_secret_scan": OP4,
     "op5_url_filter": OP5,
+    "op6_near_dedup": OP6,
     "op7_substring_dedup": OP7,
     "op8_exact_dedup": OP8,
     "op9_line_dedup": OP9,

@@ -2,7 +2,7 @@
 
 A listed entry is a host and a path prefix, with a verdict. The canonical forms of a URL that could be listed are
 few: the suffixes of its host with as many labels as some entry has, times the prefixes of its path as long as
-some entry's. The Bloom filter, a literal of fixed size, drops nearly all of them; the exact join removes the
+some entry's. The Bloom filter, a literal sized by the counted list (4 MB at most), drops nearly all of them; the exact join removes the
 false positives. No Python runs on the executors.
 """
 
@@ -11,26 +11,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, blocked_bloom, let, might_contain
+from .common import UPPER, bloom_blocks, blocked_bloom, let, might_contain
 
 #: Entries up to which the exact join broadcasts the list; beyond it, the list is shuffled and hot keys are salted.
 BROADCAST_ENTRIES = 100_000
 SALTS = 16
-BLOOM_BLOCKS = 1 << 14
 
 #: (verdict, host, path) of the stated rules.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
 
-#: Sites whose every page is listed, under each of the three domains.
-LISTED_SITES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
-LISTED = [(f"{site}.example.{domain}", "/") for site in LISTED_SITES for domain in ("com", "net", "org")]
+def listed_urls(spark: SparkSession, rules=RULES, listed: DataFrame | None = None) -> DataFrame:
+    """verdict, host, path, stated: the stated rules, and a list of URLs (verdict, host, path) that decides where no rule fits.
 
-
-def listed_urls(spark: SparkSession, rules=RULES, listed=LISTED) -> DataFrame:
-    """verdict, host, path, stated: the stated rules, and listed URLs, which block where no rule fits."""
-    rows = [(v, h, p, True) for v, h, p in rules] + [("block", h, p, False) for h, p in listed]
-    return spark.createDataFrame(rows, "verdict string, host string, path string, stated boolean")
+    Such a list is the user's data, and may be of any size; none comes with this library.
+    """
+    rows = spark.createDataFrame([(v, h, p, True) for v, h, p in rules], "verdict string, host string, path string, stated boolean")
+    return rows if listed is None else rows.unionByName(listed.select("verdict", "host", "path", F.lit(False).alias("stated")))
 
 
 def url_parts(url):
@@ -47,7 +44,7 @@ def url_verdicts(urls: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     its path. rule is the longest stated entry that fits, host and path, and gives the verdict; else rule is null
     and the longest entry that isn't stated gives it, or default. Of equally long entries the last in (rule,
     verdict) order wins. A null url and one without '://' get default. Entries with a null field fit nothing.
-    Repeated rows stay repeated; columns other than the two named are not read.
+    Repeated rows stay repeated, an empty table gives no rows, and columns other than the two named are not read.
     """
     listed = listed.select("verdict", "host", "path", "stated").dropna().groupBy(F.concat("host", "path").alias("rule"), F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(F.struct("stated", "verdict")).alias("v"))
     listed = listed.select("rule", "h", "p", "v.stated", F.col("v.verdict").alias("says"))
@@ -58,14 +55,15 @@ def url_verdicts(urls: DataFrame, listed: DataFrame, id_col: str = "page_id", ur
     rows = urls.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     if not shape["entries"]:
         return rows.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    bloom = blocked_bloom(listed, "rule", BLOOM_BLOCKS)
+    blocks = bloom_blocks(shape["entries"])
+    bloom = blocked_bloom(listed, "rule", blocks)
     suffixes = let(F.split("host", r"\."), lambda parts: F.transform(
         F.filter(F.array(*map(F.lit, sorted(shape["labels"]))), lambda n: F.size(parts) >= n),
         lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."),
     ))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, sorted(shape["lengths"]))), lambda n: F.char_length("path") >= n), lambda n: F.substring(F.col("path"), F.lit(1), n))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("rule"), s.alias("h")))))
-    rows = rows.withColumn("possible", F.filter(keys, lambda k: might_contain(bloom, k["rule"], BLOOM_BLOCKS)))
+    rows = rows.withColumn("possible", F.filter(keys, lambda k: might_contain(bloom, k["rule"], blocks)))
     hits = rows.select("id", "host", "path", F.greatest(F.size("possible"), F.lit(1)).alias("n"), F.explode_outer("possible").alias("key")).select("id", "host", "path", "n", "key.rule", "key.h")
     if shape["entries"] <= BROADCAST_ENTRIES:
         exact = hits.join(F.broadcast(listed.drop("p")), ["rule", "h"], "left")
