@@ -4,7 +4,8 @@ Each shard of the index is one row of flat arrays: a minimal perfect hash of the
 place it gives, a line's fingerprint, the number of documents that hold it, and the smallest of their ids.
 Documents probe the arrays rather than join lines: a chunk of documents asks each shard once for its distinct
 hashes, so a line that a third of all documents hold is asked for once a chunk, and the answers go back to the
-chunk. Chunks and shards grow in number with the corpus, not in size.
+chunk. A shard that is asked for more than a task should take is repeated, and its questions are split. Chunks and
+shards grow in number with the corpus, not in size.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, by_value, row_hash, same_row, stored
+from .common import BLANKS, ascii_lower, by_value, integral, row_hash, same_row, stored
 from .textnum import fmix
 
 LEAST_CHARS = 10
 #: Distinct lines in a shard, and lines in a chunk of documents, on average.
 SHARD_LINES = 200_000
 CHUNK_LINES = 200_000
+#: Bytes of questions (16 a line) that one task takes to a shard.
+QUESTION_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
 
 U = np.uint64
@@ -146,9 +149,10 @@ class LineIndex:
     """The stored shards of a corpus, and the line hashes of its documents (both in the shared folder)."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS):
+        integral(docs, id_col)
         self.id_col, self.texts = id_col, docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash("id", "text"))
         key = lambda line: ascii_lower(F.btrim(line, F.lit(BLANKS)))
-        keys = F.transform(lines(F.col("text")), lambda x: F.transform(F.array(key(x)), lambda k: F.when(F.char_length(k) >= least_chars, F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(k, F.lit(1)).alias("k2"))))[0])
+        keys = F.transform(lines(F.col("text")), lambda x: F.transform(F.array(key(x)), lambda k: F.when(F.char_length(k) >= least_chars, F.struct(F.xxhash64(k).alias("k1"), F.xxhash64(F.lit(1), k).alias("k2"))))[0])
         rows = self.texts.select("id", "row", keys.alias("keys")).filter(F.exists("keys", lambda k: k.isNotNull()))
         zero = F.struct(F.lit(0).cast("bigint").alias("k1"), F.lit(0).cast("bigint").alias("k2"))
         rows = rows.select("id", "row", F.coalesce("id", F.lit(NO_ID)).alias("oid"), F.transform("keys", lambda k: F.coalesce(k, zero)).alias("keys"))
@@ -168,8 +172,14 @@ class LineIndex:
         """id, row and, for each line, whether it goes; only documents that lose lines."""
         shards = self.shards
         rows = self.rows.withColumn("chunk", F.pmod(F.xxhash64("id", "row"), F.lit(self.chunks)).cast("int"))
-        asked = rows.groupBy("chunk").applyInPandas(lambda pdf: ask(pdf, shards), "shard int, chunk int, pairs binary")
-        found = asked.groupBy("shard").cogroup(self.index.groupBy("shard")).applyInPandas(probe, "chunk int, found binary")
+        asked = stored(rows.groupBy("chunk").applyInPandas(lambda pdf: ask(pdf, shards), "shard int, chunk int, pairs binary"), "asked")
+        salts = asked.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("pairs")) / QUESTION_BYTES).cast("int").alias("salts"))
+        index, key = self.index, ["shard"]
+        if not salts.filter("salts > 1").isEmpty():
+            salts, key = stored(salts, "salts"), ["shard", "salt"]
+            index = index.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+            asked = asked.join(salts, "shard").withColumn("salt", F.pmod("chunk", "salts")).drop("salts")
+        found = asked.groupBy(*key).cogroup(index.groupBy(*key)).applyInPandas(probe, "chunk int, found binary")
         kind = self.rows.schema["id"].dataType.simpleString()
         out = rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(settle, f"id {kind}, row bigint, gone array<boolean>")
         return out.dropDuplicates(["id", "row"])
@@ -181,7 +191,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines are equal if they are after trimming ASCII white space and lower-casing A-Z. Of lines of at least
     least_chars code points that several documents hold, only those of the smallest id stay, all of them. Null and
     empty text is one empty line. Rows with a null id count as one document, after all others. Rows that repeat
-    an id are one document; repeated rows get equal results.
+    an id are one document; repeated rows get equal results. Ids are integers below 2**63 - 1. An empty table gives
+    no rows; of docs only the two columns are read.
     """
     index = LineIndex(docs, id_col, text_col, least_chars)
     rows = same_row(index.texts, index.gone(), "left")

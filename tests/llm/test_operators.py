@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linesift.llm import common, decontam, exact_dedup, html_extract, lang_id, line_dedup, near_dedup, packing, queries, secrets_scan, substring_dedup, url_filter
+from linesift.llm import common, decontam, exact_dedup, html_extract, lang_id, line_dedup, near_dedup, packing, queries, secrets_scan, substring_dedup, textnum, url_filter
 
 from ..oracle import same
 from . import brute
@@ -186,11 +186,13 @@ def test_secrets(spark):
     for i, t in enumerate(texts):
         assert got[i]["spans"] == ",".join(spans(t)), (i, got[i])
         assert got[i]["base_sha256"] == brute.sha(",".join(spans(t)))
-    assert ledger.scanned().count() == 7  # empty and null are one blob, and two texts are equal
-    secrets_scan.secret_report(df.unionByName(docs(spark, f"new {h}", ids=[99])), ledger=ledger).collect()
-    assert ledger.scanned().count() == 8
-    ledger.ingest(df, version="2").collect()
-    assert ledger.scanned().count() == 8 + 7
+    assert len(ledger.scanned()) == 7  # empty and null are one blob, and two texts are equal
+    again = secrets_scan.BlobLedger(spark, ledger.path, buckets=3)  # keeps its own number of buckets
+    more = secrets_scan.secret_report(df.unionByName(docs(spark, f"new {h}", ids=[99])), ledger=again).collect()
+    assert {r["doc_id"]: r["spans"] for r in more} == {i: got[i]["spans"] for i in got} | {99: f"hex:4:{4 + len(h)}"}
+    assert len(again.scanned()) == 8 and again.scanned("2") == []
+    again.ingest(df, version="2").collect()
+    assert len(again.scanned()) == 8 and len(again.scanned("2")) == 7
 
 
 def test_more_kinds_come_after_base_kinds(spark):
@@ -205,23 +207,30 @@ def test_more_kinds_come_after_base_kinds(spark):
 def test_urls(spark, broadcast, monkeypatch):
     if not broadcast:
         monkeypatch.setattr(url_filter, "BROADCAST_ENTRIES", 0)
-    urls = [None, "", "no scheme.net/x", "http://", "https://A.Example.NET/en/x", "http://a.net", "http://a.net/", "http://a.net?q=/", "http://example.com/de/", "http://badexample.com/de/", "http://x.y.org/fr/#a", "ftp://adult-x.example.com/1", "http://net/", "http://a.net/x\ny", "a://b://c.net/x", "http://a.net/"]
+    urls = [None, "", "no scheme.net/x", "http://", "https://A.Example.NET/en/x", "http://a.net", "http://a.net/", "http://a.net?q=/", "http://example.com/de/", "http://badexample.com/de/", "http://x.y.org/fr/#a", "ftp://x.bad.example.com/1", "http://net/", "http://a.net/x\ny", "a://b://c.net/x", "http://a.net/", "http://site2999.test/y", "http://site3000.test/y", "http://h.test/" + "z" * 200_000]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")
-    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.url_verdicts(pages, url_filter.listed_urls(spark)).collect()}
+    # A list of 3,000 further sites by rule, of which one is asked for.
+    listed = spark.range(3000).select(F.lit("block").alias("verdict"), F.format_string("site%d.test", "id").alias("host"), F.lit("/").alias("path"))
+    listed = listed.unionByName(spark.createDataFrame([("block", "bad.example.com", "/"), (None, "a.net", "/")], "verdict string, host string, path string"))
+    urls_listed = url_filter.listed_urls(spark, listed=listed)
+    got = {r["page_id"]: tuple(r)[1:] for r in url_filter.url_verdicts(pages, urls_listed).collect()}
     assert got == {
         0: ("", "", None, "allow"), 1: ("", "", None, "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("a.example.net", "/en/x", "example.net/en/", "allow"), 5: ("a.net", "", None, "allow"),
         6: ("a.net", "/", "net/", "block"), 7: ("a.net", "", None, "allow"), 8: ("example.com", "/de/", "example.com/de/", "block"), 9: ("badexample.com", "/de/", None, "allow"), 10: ("x.y.org", "/fr/", "org/fr/", "allow"),
-        11: ("adult-x.example.com", "/1", None, "block"), 12: ("net", "/", "net/", "block"), 13: ("a.net", "/x\ny", "net/", "block"), 14: ("b:", "//c.net/x", None, "allow"), 15: ("a.net", "/", "net/", "block"),
+        11: ("x.bad.example.com", "/1", None, "block"), 12: ("net", "/", "net/", "block"), 13: ("a.net", "/x\ny", "net/", "block"), 14: ("b:", "//c.net/x", None, "allow"), 15: ("a.net", "/", "net/", "block"),
+        16: ("site2999.test", "/y", None, "block"), 17: ("site3000.test", "/y", None, "allow"), 18: ("h.test", "/" + "z" * 200_000, None, "allow"),
     }
-    twice = url_filter.url_verdicts(pages.unionByName(pages), url_filter.listed_urls(spark))
+    twice = url_filter.url_verdicts(pages.unionByName(pages), urls_listed)
     assert twice.count() == 2 * len(urls)
 
 
 def test_bloom_has_no_false_negative(spark):
     keys = spark.range(3000).select(F.col("id").cast("string").alias("k"))
-    bloom = common.blocked_bloom(keys, "k", 1 << 10)
-    hit = lambda n: spark.range(*n).filter(common.might_contain(bloom, F.col("id").cast("string"), 1 << 10)).count()
-    assert hit((0, 3000)) == 3000 and hit((10_000, 20_000)) < 1500
+    blocks = common.bloom_blocks(3000)
+    assert blocks == 1 << 10 and common.bloom_blocks(0) == 16 and common.bloom_blocks(10**9) == common.MOST_BLOCKS
+    bloom = common.blocked_bloom(keys, "k", blocks)
+    hit = lambda n: spark.range(*n).filter(common.might_contain(bloom, F.col("id").cast("string"), blocks)).count()
+    assert hit((0, 3000)) == 3000 and hit((10_000, 20_000)) < 400
 
 
 # --- 6 -----------------------------------------------------------------------------------
@@ -249,9 +258,84 @@ def test_near_copies_with_odd_ids(spark):
     assert table(near_dedup.near_dedup(df), "doc_id", "component_id", "kept") == sorted([(5, 5, True), (5, 5, True), (None, None, True), (7, 3, False), (3, 3, True)], key=repr)
 
 
+@pytest.mark.parametrize("block", [2000, 5])
+def test_chains_and_groups_across_blocks(spark, block, monkeypatch):
+    """A chain of near copies, and two groups that boilerplate brings into one family."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = random.Random(61)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts, chain = [], [word() for _ in range(60)]
+    for i in range(30):
+        chain = [*chain[1:], word()] if i % 3 else [*chain[3:], word(), word(), word()]
+        texts.append(" ".join(chain))
+    common = [word() for _ in range(40)]
+    for size in (9, 14):
+        own = [word() for _ in range(22)]
+        for _ in range(size):
+            copy = [*common, *own]
+            copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.near_dedup(docs(spark, *texts), k=4).collect()}
+    assert got == brute.near(list(enumerate(texts)), 4)
+
+
+def thue_morse(n):
+    """Two strings of 2**n letters that sums of powers modulo 2**64 can't tell apart."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_near_copies_tell_apart_what_polynomials_do_not(spark):
+    a, b = thue_morse(11)
+    words = [" ".join(x) for x in thue_morse(11)]
+    texts = [f"{a} one", f"{b} one", *words, f"{a} {a} {b} {b}", f"{b} {b} {a} {a}"]
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.near_dedup(docs(spark, *texts), k=4).collect()}
+    assert got == brute.near(list(enumerate(texts)), 4)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 25, 50, 63])
+def test_runs_of_words_have_their_own_hashes(n):
+    rng = random.Random(n)
+    texts = [" ".join(rng.choices(["a", "b"], k=400)).encode(), b"", b" x ", " ".join(rng.choices("abcdé", k=300)).encode()]
+    lanes, first = textnum.word_hashes(texts)
+    words = [w for t in texts for w in t.split()]
+    assert first.tolist() == np.cumsum([0, *(len(t.split()) for t in texts)]).tolist()
+    runs = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+    for lane, own in enumerate(lanes):
+        hashes = textnum.run_hashes(own, n, lane).tolist()
+        assert len(hashes) == len(runs) and len(set(zip(hashes, runs))) == len(set(hashes)) == len(set(runs))
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    text = (" ".join(f"w{i % 97}" for i in range(3000)) + "  ").encode()
+    (whole, _), first = textnum.word_hashes([text, b"a b"])
+    monkeypatch.setattr(textnum, "CHUNK", 100)
+    (parts, _), again = textnum.word_hashes([text, b"a b"])
+    assert whole.tolist() == parts.tolist() and first.tolist() == again.tolist()
+
+
+def test_ids_of_other_types_are_refused(spark):
+    df = spark.createDataFrame([("x", "a b")], "doc_id string, text string")
+    for f in (near_dedup.near_dedup, substring_dedup.substring_dedup, line_dedup.line_dedup):
+        with pytest.raises(TypeError, match="integer ids"):
+            f(df)
+
+
 # --- 7 -----------------------------------------------------------------------------------
 
 
+def test_passages_tell_apart_what_polynomials_do_not(spark):
+    a, b = thue_morse(11)
+    rest = [f"w{i}" for i in range(49)]
+    sentences = [" ".join(x) for x in thue_morse(7)]
+    texts = [" ".join([a, *rest]), " ".join([b, *rest]), *sentences, f"x {sentences[0]} y"]
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.substring_dedup(docs(spark, *texts), window=50).collect()}
+    assert got == removed(texts, 50) and got[1][1] == 0
+
+
 def removed(texts, window):
     words = [(t or "").encode().split() for t in texts]
     first: dict = {}
@@ -300,21 +384,32 @@ def test_hot_copies(spark):
     assert got.filter("kept").count() == 301 and got.filter("group_size = 400 and keep_id = 399").count() == 400
 
 
-def test_index_is_kept_between_batches(spark, tmp_path):
-    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=3)
-    index.ingest(docs(spark, "a", "b")).collect()
-    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=3)
-    got = table(again.ingest(docs(spark, "b", "c", ids=[7, 8])), "doc_id", "keep_id", "kept")
-    assert got == [(7, 1, False), (8, 8, True)]
-    assert again.table().count() == 3
-    plan = again.table().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning" not in plan  # the buckets spare the shuffle
+@pytest.mark.parametrize("buckets", [8, None])
+def test_index_is_kept_between_batches(spark, tmp_path, buckets):
+    """An index is opened again with its own number of buckets, whatever the setting or the argument say."""
+    path, texts = f"file://{tmp_path}/index", [f"text {i}" for i in range(40)]
+    exact_dedup.DigestIndex(spark, path, buckets=8).ingest(docs(spark, *texts)).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = exact_dedup.DigestIndex(spark, path, buckets and 5)
+        frame = docs(spark, *texts[:39], "new", ids=range(100, 140)).withColumnRenamed("id", "digest").withColumnRenamed("row", "keep_id")
+        got = table(again.ingest(frame), "doc_id", "keep_id", "kept")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == sorted([(100 + i, i, False) for i in range(39)] + [(139, 139, True)], key=repr)
+    with again.open() as index:
+        assert index.rows().count() == 41 and index.buckets == 8
+        plan = index.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan  # the buckets spare the shuffle
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
 
 
 # --- 9 -----------------------------------------------------------------------------------
 
 
-def test_lines(spark, monkeypatch):
+@pytest.mark.parametrize("question_bytes", [1 << 20, 64])
+def test_lines(spark, question_bytes, monkeypatch):
+    monkeypatch.setattr(line_dedup, "QUESTION_BYTES", question_bytes)
     monkeypatch.setattr(line_dedup, "SHARD_LINES", 5)
     monkeypatch.setattr(line_dedup, "CHUNK_LINES", 7)
     rng = random.Random(9)
