@@ -4,8 +4,11 @@ Texts are lower-cased; what is no letter becomes one space. Each language's mode
 bounded sample of labelled rows, so its size is bounded too: at most SAMPLE_CHARS n-grams of each order and
 language. All models share the arrays: for each order, a sorted array of n-gram hashes, and a column of log
 probabilities (and of back-off weights) per language beside it. A text's languages are compared by their
-cross-entropy per character; the lowest wins. Texts whose lowest is higher than nearly all held-back labelled
-texts of that language had are rejected.
+cross-entropy per character; the lowest wins.
+
+Rejection is calibrated on held-back labelled texts and on the same texts with their letters shuffled. Under the best
+language, the cross-entropy of either kind is taken as normal with a variance of a + b / length; a text is rejected
+if it is likelier among the shuffled ones. Both curves are fitted, so the rule is smooth in the length.
 """
 
 from __future__ import annotations
@@ -20,12 +23,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, by_value
 
 ORDER = 4
-#: Characters of each language that a model is fitted on; as many again, at most, calibrate rejection.
+#: Characters of each language that a model is fitted on, at most; a quarter as many, at most, calibrate rejection.
 SAMPLE_CHARS = 1_000_000
-#: The share of held-back texts, of a language and a like length, below which a cross-entropy isn't rejected.
-QUANTILE = 0.999
-#: And what it must exceed that quantile by, in nats a character.
-MARGIN = 0.6
 DISCOUNT = 0.75
 CHUNK = 400_000
 
@@ -60,8 +59,12 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """langs, and for each order n from 1: sorted hashes, log probabilities and log back-off weights (a row a hash, a column a language)."""
 
-    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: np.ndarray):
-        self.langs, self.orders, self.floor, self.limits = langs, orders, floor, {}
+    def __init__(self, langs: list[str], orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]], floor: np.ndarray, curves: tuple | None = None):
+        self.langs, self.orders, self.floor, self.curves = langs, orders, floor, curves
+
+    def plain(self) -> tuple:
+        """Lists and arrays alone, of which Model(*plain) makes the model again where the package isn't installed."""
+        return self.langs, self.orders, self.floor, self.curves
 
     @classmethod
     def fit(cls, samples: dict[str, list[str]]) -> Model:
@@ -161,44 +164,60 @@ class Model:
             i = j
         return out
 
-    def calibrate(self, held: dict[str, list[str]]) -> None:
-        """The highest cross-entropy that isn't rejected, for each language and power of two of the length."""
-        worst: dict = {}
-        for lang, texts in held.items():
-            texts = [t for t in texts if t]
-            if texts:
-                own = self.entropies(texts)[:, self.langs.index(lang)]
-                for size, e in zip((len(t).bit_length() for t in texts), own):
-                    worst.setdefault((lang, size), []).append(e)
-        for lang in self.langs:
-            every = [e for (x, _), es in worst.items() if x == lang for e in es]
-            for size in range(64):
-                mine = worst.get((lang, size), [])
-                mine = mine if len(mine) >= 20 else every
-                self.limits[lang, size] = float(np.quantile(mine, QUANTILE)) + MARGIN * (1 + 8 / 2 ** (size / 2)) if mine else float("inf")
+    def calibrate(self, held: list[str]) -> None:
+        """Fit the curves of the texts and of their shuffled letters; without texts, nothing will be rejected."""
+        held = [t for t in held if t.strip()]
+        if not held:
+            return
+        rng = np.random.default_rng(1)
+        shuffled = [f" {' '.join(''.join(rng.permutation(list(t[1:-1]))).split())} " for t in held]
+        curves = []
+        for texts in (held, shuffled):
+            e, long = self.entropies(texts), np.array([len(t) for t in texts])
+            best, low = e.argmin(1), e.min(1)
+            mean = np.array([np.median(low[best == k]) if (best == k).any() else np.median(low) for k in range(len(self.langs))])
+            spread = np.linalg.lstsq(np.stack([np.ones(len(long)), 1 / long], 1), (low - mean[best]) ** 2, rcond=None)[0]
+            curves.append((mean, *np.maximum(spread, (1e-4, 1e-2)).tolist()))
+        self.curves = tuple(curves)
+
+    def noise(self, entropy: np.ndarray, best: np.ndarray, long: np.ndarray) -> np.ndarray:
+        """How much likelier texts are among shuffled letters than among texts of their best language, as a logarithm."""
+        if self.curves is None:
+            return np.full(len(entropy), -np.inf)
+        log = []
+        for mean, a, b in self.curves:
+            var = a + b / long
+            log.append(-((entropy - mean[best]) ** 2) / (2 * var) - np.log(var) / 2)
+        # Beyond the mean of the shuffled texts nothing is a language, whichever curve is wider.
+        beyond = entropy >= self.curves[1][0][best]
+        return np.where(entropy <= self.curves[0][0][best], -np.inf, np.where(beyond, np.inf, log[1] - log[0]))
 
     def judge(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
         """Language, score, cross-entropy, rejected."""
         e = self.entropies(texts)
         best = e.argmin(1)
         # The posterior of the winner, each character's evidence tempered as if 20 of them told as much as one.
-        long = np.array([len(t) for t in texts])[:, None]
-        score = 1 / np.exp(np.clip(-(e - e.min(1, keepdims=True)) * np.maximum(long / 20, 1), -60, 0)).sum(1)
-        return [(self.langs[b], float(s), float(x[b]), bool(x[b] > self.limits.get((self.langs[b], len(t).bit_length()), float("inf")))) for b, s, x, t in zip(best, score, e, texts)]
+        long = np.array([len(t) for t in texts])
+        score = 1 / np.exp(np.clip(-(e - e.min(1, keepdims=True)) * np.maximum(long[:, None] / 20, 1), -60, 0)).sum(1)
+        noise = self.noise(e.min(1), best, long) > 0
+        return [(self.langs[b], float(s), float(x[b]), bool(r)) for b, s, x, r in zip(best, score, e, noise)]
+
+
+FOUND = ["lang_pred", "score", "entropy", "rejected"]
 
 
 def judge_rows(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        model = Model(*shared.value)
         for pdf in batches:
-            texts = [letters_of(t) if t else "" for t in pdf["_text"]]
+            texts = [letters_of(t) if t else "" for t in pdf.iloc[:, -1]]
             some = [i for i, t in enumerate(texts) if t]
             out: list = [("und", 0.0, None, True)] * len(texts)
             if some and model.langs:
                 for i, x in zip(some, model.judge([texts[i] for i in some])):
                     out[i] = x
-            frame = pd.DataFrame(out, columns=["lang_pred", "score", "entropy", "rejected"])
-            yield pd.concat([pdf.drop(columns="_text").reset_index(drop=True), frame], axis=1)
+            frame = pd.DataFrame(out, columns=FOUND)
+            yield pd.concat([pdf.iloc[:, :-1].reset_index(drop=True), frame], axis=1)
 
     return run
 
@@ -214,37 +233,46 @@ def held_out(id_: Column) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_chars: int = SAMPLE_CHARS) -> Model:
     """A model from labelled rows that aren't held out.
 
-    Each language's rows are sampled by a hash of the id to about twice sample_chars characters, whole texts, and
-    half of them calibrate. The sample is cut exactly on the driver, so it is bounded whatever the table's size.
+    Rows are taken in the order of a hash of the id, by language, until sample_chars characters are fitted and a
+    quarter as many held back to calibrate; what is over in the last text is cut off, and no text sends more than
+    sample_chars characters to the driver. A language's first text is always fitted, and after it each text is held
+    back while those that are have less than a third of what is fitted. Null texts and languages teach nothing.
     """
     rows = docs.filter(~held_out(F.col(id_col)) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 30)).alias("h")
+        F.left(text_col, F.lit(sample_chars)).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(1 << 30)).alias("h")
     )
     sizes = {r["lang"]: (r["n"], r["most"]) for r in rows.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n"), F.max(F.char_length("text")).alias("most")).collect()}
     take = F.lit(False)
     for lang, (n, most) in sizes.items():
+        # What is asked for is more than what is taken: sampling by a hash varies, and texts lose what is no letter.
         take = take | ((F.col("lang") == lang) & (F.col("h") < int(min(1.0, (2 * sample_chars + most) / max(n, 1)) * (1 << 30))))
-    fitted: dict = {lang: [] for lang in sizes}
-    held: dict = {lang: [] for lang in sizes}
-    used = dict.fromkeys(sizes, 0)
+    taken: dict = {lang: ([], []) for lang in sizes}
+    used = {lang: [0, 0] for lang in sizes}
+    room = (sample_chars, sample_chars // 4)
     for r in rows.filter(take).orderBy("h", "text").toLocalIterator():
-        if used[r["lang"]] < 2 * sample_chars:
-            (fitted if r["h"] % 2 else held)[r["lang"]].append(letters_of(r["text"]))
-            used[r["lang"]] += len(r["text"])
-    fitted = {k: v for k, v in fitted.items() if any(v)}
+        n = used[r["lang"]]
+        side = int(3 * n[1] < n[0] and n[1] < room[1] or n[0] >= room[0])
+        if n[side] < room[side] and (text := letters_of(r["text"])):
+            text = text[: room[side] - n[side]]
+            taken[r["lang"]][side].append(text)
+            n[side] += len(text)
+    fitted = {lang: x for lang, (x, _) in taken.items() if x}
     model = Model.fit(fitted) if fitted else Model([], [], np.empty(0))
-    model.calibrate({k: v for k, v in held.items() if k in fitted})
+    if fitted:
+        model.calibrate([t for lang in sorted(fitted) for t in taken[lang][1]])
     return model
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] = [], text_col: str = "text") -> DataFrame:  # noqa: B006
     """The columns in keep, and lang_pred, score (0 to 1), entropy (nats a character) and rejected.
 
-    Null text, and text without a letter, is `und`, with score 0, a null entropy, and rejected. So is every text if
-    the model has no language. Repeated rows stay repeated.
+    A kept column with one of these four names is returned with `_in` after its name. Null text, and text without a
+    letter, is `und`, with score 0, a null entropy, and rejected. So is every text if the model has no language.
+    Repeated rows stay repeated; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInPandas(judge_rows(shared), f"{kinds}{', ' if kinds else ''}lang_pred string, score double, entropy double, rejected boolean")
+    inner = [f"c{i}" for i in range(len(keep))]
+    rows = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(keep, inner)), F.col(text_col).alias("text"))
+    kinds = ", ".join([f"{x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(keep, inner)] + ["lang_pred string", "score double", "entropy double", "rejected boolean"])
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
+    return rows.mapInPandas(judge_rows(shared), kinds).toDF(*(f"{c}_in" if c in FOUND else c for c in keep), *FOUND)
