@@ -1,10 +1,10 @@
 """Best-fit packing with Martello-Toth dominance reduction.
 
 Only a histogram of piece lengths, at most capacity entries, reaches the driver, whatever the number of documents.
-There the reduction takes the longest length again and again: if some set of pieces beside it dominates every
-other (an exact fill; or the best single partner where no two more pieces fit), the sets are fixed, as many as the
-counts allow. What is left is packed best-fit, longest first, with bins of equal fill handled as one group. The
-result is a list of patterns with multiplicities. Each piece finds its place from its rank among the pieces of its
+There the reduction takes the lengths from the longest down: if some set of a piece and at most two partners dominates
+every other (an exact fill; the best partner where no two fit; the best one or two where no three fit), such sets are
+fixed, as many as the counts allow. What is left is packed best-fit, longest first, with bins of equal fill handled
+as one group. The result is a list of patterns with multiplicities. Each piece finds its place from its rank among the pieces of its
 length; ranks are running sums over parts of the stored pieces, and are never computed in one task.
 """
 
@@ -34,34 +34,73 @@ REMEMBERED = 500_000
 Pattern = tuple[tuple[int, ...], int]
 
 
-def reduce_dominated(counts: Counter, capacity: int) -> tuple[list[Pattern], list[Pattern]]:
-    """Fix dominating sets: (patterns that are fixed, patterns of the lengths that none was found for, one piece each)."""
-    fixed, open_ = [], []
-    have = sorted(counts)
-    counts = Counter(counts)
-    while have:
-        w = have[-1]
-        room = capacity - w
-        if w == capacity or have[0] > room:  # alone
-            fixed.append(((w,), counts.pop(w)))
-            have.pop()
+def best_pair(partners: Counter, order: list[int], room: int) -> tuple[int, int]:
+    """The two pieces (a >= b) of partners with the largest sum that fits; (0, 0) if none do. order: their lengths, sorted."""
+    i, j, best = 0, len(order) - 1, (0, 0)
+    while i <= j:
+        a, b = order[j], order[i]
+        if a + b > room:
+            j -= 1
             continue
-        best = have[bisect.bisect_right(have, room) - 1]
-        two = have[0] + (have[0] if counts[have[0]] > 1 else have[1] if len(have) > 1 else capacity)
-        if best == room or (two > room and best != w):
-            # An exact fill dominates every set; so does the longest partner where only one fits.
-            n = min(counts[w], counts[best]) if best != w else counts[w] // 2
-            if n:
-                fixed.append(((w, best), n))
-                for x in {w, best}:
-                    counts[x] -= n * (2 if best == w else 1)
+        if a + b > sum(best) and (i < j or partners[a] > 1):
+            best = (a, b)
+        i += 1
+    return best
+
+
+def dominating(w: int, counts: Counter, order: list[int], capacity: int) -> tuple[int, ...] | None:
+    """A set that holds a piece of length w and dominates every other such set, or None if none is known to.
+
+    counts: the pieces of the instance, with this one; order: their lengths, sorted. The three cases are those of
+    Martello and Toth: at most one partner fits (or one fits exactly), or at most two do.
+    """
+    room = capacity - w
+    lengths = order[: bisect.bisect_right(order, room)]  # of partners that fit alone
+    if counts[w] == 1 and w <= room:
+        lengths.remove(w)
+    if not lengths:
+        return (w,)
+    have = lambda x: counts[x] - (x == w)
+    least = [x for x in lengths[:3] for _ in range(min(3, have(x)))][:3]
+    single = lengths[-1]
+    if single == room or len(least) < 2 or least[0] + least[1] > room:
+        return (w, single)
+    if len(least) > 2 and sum(least) <= room:
+        return None
+    a, b = best_pair(Counter({x: have(x) for x in lengths}), lengths, room)
+    if single >= a + b:
+        return (w, single)
+    if single != a:
+        return None
+    heavier = [x for x in lengths[bisect.bisect_right(lengths, b) :][:2] for _ in range(min(2, have(x)))][:2]
+    return (w, a, b) if len(heavier) < 2 or sum(heavier) > room else None
+
+
+def reduce_dominated(counts: Counter, capacity: int) -> tuple[list[Pattern], Counter]:
+    """Fix dominating sets: (patterns that are fixed, the pieces of the instance that is left).
+
+    Lengths are taken from the longest down; a piece that no set is known to dominate for stays in the instance, as a
+    partner for others. Each fixed set shrinks the instance, so passes go on until one fixes nothing.
+    """
+    fixed: list[Pattern] = []
+    counts = Counter({w: n for w, n in counts.items() if n})
+    order = sorted(counts)
+    shrunk = True
+    while shrunk:
+        shrunk = False
+        for w in sorted(counts, reverse=True):
+            while counts[w] and (found := dominating(w, counts, order, capacity)):
+                # What dominates once does so again while its pieces last: no set of what is left is new.
+                uses = Counter(found)
+                n = min(counts[x] // k for x, k in uses.items())
+                fixed.append((found, n))
+                shrunk = True
+                for x, k in uses.items():
+                    counts[x] -= n * k
                     if not counts[x]:
-                        have.remove(x)
-                        del counts[x]
-                continue
-        open_.append(((w,), counts.pop(w)))
-        have.pop()
-    return fixed, open_
+                        del order[bisect.bisect_left(order, x)]
+        counts = Counter({w: n for w, n in counts.items() if n})
+    return fixed, counts
 
 
 def best_fit(pieces: list[Pattern], capacity: int) -> list[Pattern]:
@@ -99,9 +138,17 @@ def best_fit(pieces: list[Pattern], capacity: int) -> list[Pattern]:
     return [(bin_, n) for room in rooms for bin_, n in groups[room]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Pattern], int]:
+    """The patterns, and how many of the sequences were fixed by dominance: those come first.
+
+    Best fit on the reduced instance is a heuristic, and may rarely need more bins than on the whole one, which is
+    taken then.
+    """
+    single = lambda pieces: [((w,), n) for w, n in pieces.items() if n]
     fixed, rest = reduce_dominated(Counter(counts), capacity)
-    return fixed + best_fit(rest, capacity)
+    reduced, whole = fixed + best_fit(single(rest), capacity), best_fit(single(counts), capacity)
+    size = lambda patterns: sum(n for _, n in patterns)
+    return (reduced, size(fixed)) if size(reduced) <= size(whole) else (whole, 0)
 
 
 def slots(patterns: list[Pattern]) -> dict[int, np.ndarray]:
@@ -192,7 +239,7 @@ def piece_rows(path: str, capacity: int):
     return run
 
 
-def place_rows(where: dict[int, np.ndarray]):
+def place_rows(where: dict[int, np.ndarray], fixed: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rank = (pdf["seq"] + pdf["before"]).to_numpy(np.int64)
@@ -205,7 +252,7 @@ def place_rows(where: dict[int, np.ndarray]):
                     i = np.searchsorted(table[:, 0], rank[mine], side="right") - 1
                     sequence[mine] = table[i, 1] + rank[mine] - table[i, 0]
                     offset[mine] = table[i, 2]
-            yield pdf[["id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=sequence, offset=offset)
+            yield pdf[["id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=sequence, offset=offset, fixed=sequence < fixed)
 
     return run
 
@@ -214,7 +261,7 @@ by_value(__name__)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: the id, piece, start, length, ids_crc32, sequence_id and offset.
+    """Per piece: the id, piece, start, length, ids_crc32, sequence_id, offset, and whether dominance fixed its sequence.
 
     A document is the ids of its text (null: none) and the end id. One longer than capacity is cut into pieces of
     capacity ids, the last maybe shorter. Rows with a null id, and repeated rows, are packed like any other. An
@@ -226,8 +273,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
     pieces = stored(texts.mapInPandas(piece_rows(tokenizer, capacity), f"{schema}, part int, seq bigint"), "pieces")
     counts = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
-    where = slots(plan(dict(map(tuple, counts.groupBy("length").agg(F.sum("n")).collect())), capacity))  # at most capacity rows
+    patterns, fixed = plan(dict(map(tuple, counts.groupBy("length").agg(F.sum("n")).collect())), capacity)  # at most capacity rows
+    where = slots(patterns)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    placed = pieces.join(offsets, ["length", "part"]).mapInPandas(place_rows(where), f"{schema}, sequence_id bigint, offset bigint")
+    placed = pieces.join(offsets, ["length", "part"]).mapInPandas(place_rows(where, fixed), f"{schema}, sequence_id bigint, offset bigint, fixed boolean")
     return placed.withColumnRenamed("id", id_col)
