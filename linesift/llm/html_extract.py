@@ -1,13 +1,14 @@
 """Main text of HTML pages by nearest-URL page differencing.
 
-A page is parsed to lines, one a block. Menus, headers, footers, sidebars, forms, adverts, scripts and the like,
-where the mark-up names them, are left out. Lines inside an article or main element are the page's own, and stay:
-pages of one host may well share a paragraph. On pages that mark no such element the template shows by repetition:
-pages of a host are brought in the order of their URL paths, each is paired with its nearest neighbour, their
-lines are aligned by longest common subsequence, and the shared lines are deleted.
-
-Range partitioning by (host, path, id) keeps neighbours together and cuts a host of any size; only pages without a
-marked article are moved. A page at the edge of a partition has one neighbour in reach.
+A page is parsed to lines, one a block. Pages of a host are brought in the order of their URL paths, and each is paired
+with the nearer of its two neighbours, passing over pages with the same lines. The lines of both are aligned by longest
+common subsequence, and shared lines are deleted: what pages of a site repeat is no article. Mark-up guards this: lines
+inside an article or main element stay, as pages of one host may well share a paragraph; lines that mark-up names as
+menus, headers, footers, sidebars, forms, adverts and the like go even where they differ; and on a page that marks its
+article nothing outside it counts.
+
+Range partitioning by (host, path, id) cuts a host of any size. Only hashes of lines are ordered and aligned. Pages at
+the edge of a partition get their neighbour from the partition beyond, so the partitioning changes no result.
 """
 
 from __future__ import annotations
@@ -18,13 +19,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value
+from .common import bounded_batches, by_value, stored
 from .url_filter import url_parts
 
-# Names of HTML elements.
+# Names of HTML elements, by what they do.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "title", "object", "canvas"}
 DROPPED = {"head", "nav", "aside", "footer", "form", "button", "select", "dialog", "menu"}
 MAIN = {"article", "main"}
@@ -33,47 +35,75 @@ BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Words of a class or id, and roles, that name what is no part of the article.
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+CELLS, ROW, PARTS = {"td", "th"}, {"tr"}, {"thead", "tbody", "tfoot"}
+#: By the element that starts: which open elements that ends, and within which it doesn't look for them.
+ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}), "option": ({"option"}, {"select"})}
+ENDS |= {x: (CELLS, {"tr", "table"}) for x in CELLS} | {"tr": (CELLS | ROW, {"table"})} | {x: (CELLS | ROW | PARTS, {"table"}) for x in PARTS}
+ENDS |= {x: (HEADINGS, BLOCKS - HEADINGS) for x in HEADINGS}
+#: What no implied end reaches out of.
+CLOSED = {"table", "td", "th", "caption", "button", "object"}
+#: Blocks that don't end an open paragraph.
+IN_PARAGRAPH = CELLS | ROW | PARTS | {"body", "html", "head", "caption", "option", "legend"}
+
+#: Names, as a class or id or joined to one by words of PLACES, of what is no part of an article; and roles.
 CHROME = set(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer ad ads adv advert adverts advertisement advertisements banner sponsor sponsored promo promotion "
     "cookie cookies consent notice gdpr popup modal overlay comment comments disqus share sharing social related recommended newsletter subscribe signup login search pagination pager masthead".split()
 )
+PLACES = set("bar bottom box block button buttons container form global group holder inner item items left link links list main outer page panel right section site slot top unit widget wrap wrapper".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
-WORD = re.compile(r"[a-z]+")
+# A quote opens a value only after an equals sign; a tag that isn't ended runs to the end of the page.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""(?<![^\s"'/])([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+PART = re.compile(r"[a-z]+")
+
+PLAIN, NAMED, OWN = 0, 1, 2
+
+
+def names_chrome(value: str) -> bool:
+    """Whether one of the names of a class or id says what is no part of an article: all its words do, or say where it stands."""
+    return any(CHROME & words and words <= CHROME | PLACES for words in (set(PART.findall(name)) for name in value.split()))
 
 
 def is_chrome(attributes: str) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape((m[2] or "").strip("\"'")).lower()
-        if name == "hidden" or name == "role" and ROLES & set(value.split()) or name in ("class", "id") and CHROME & set(WORD.findall(value)):
+        if name == "hidden" or name == "role" and ROLES & set(value.split()) or name in ("class", "id") and names_chrome(value):
             return True
     return False
 
 
-def parse(page: str) -> list[tuple[str, bool]]:
-    """The page's lines that no mark-up rules out, in order, and whether each is inside an article or main element.
+def parse(page: str) -> list[tuple[str, int]]:
+    """The page's lines in order, each PLAIN, NAMED (in an element that mark-up names as no article) or OWN (in an article
+    or main element and not so named).
 
-    Elements that are never closed end with the element around them.
+    Elements end with an end tag, with a start tag that implies their end, or with the element around them.
     """
-    lines: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, main
+    lines: list[tuple[str, int]] = []
+    stack: list[tuple[str, bool, bool]] = []  # name, named, main
     text: list[str] = []
 
     def flush() -> None:
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            lines.append((line, bool(stack) and stack[-1][2]))
+            _, named, main = stack[-1] if stack else ("", False, False)
+            lines.append((line, NAMED if named else OWN if main else PLAIN))
 
-    at, end = 0, len(page)
-    while at < end:
+    def end(names: set[str], within: set[str]) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                del stack[i:]
+                return
+            if stack[i][0] in within:
+                return
+
+    at, size = 0, len(page)
+    while at < size:
         m = TAG.search(page, at)
-        dropped = bool(stack) and stack[-1][1]
-        if not dropped:
-            text.append(html.unescape(page[at : m.start() if m else end]))
+        text.append(html.unescape(page[at : m.start() if m else size]))
         if not m:
             break
         at = m.end()
@@ -81,37 +111,45 @@ def parse(page: str) -> list[tuple[str, bool]]:
         if not name:
             continue
         if name in BLOCKS or name in RAW:
-            flush() if not dropped else text.clear()
+            flush()
         elif name == "br":
             text.append(" ")
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    # An inline end tag doesn't close the blocks that were opened after its start.
-                    if name in BLOCKS or not any(x[0] in BLOCKS for x in stack[i + 1 :]):
-                        del stack[i:]
-                    break
+            # An inline end tag doesn't close the blocks that were opened after its start.
+            end({name}, CLOSED - {name} if name in BLOCKS else BLOCKS)
         elif name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif name not in VOID and not m[3].rstrip().endswith("/"):
-            _, gone, main = stack[-1] if stack else ("", False, False)
-            main = main or name in MAIN
-            gone = gone or name in DROPPED or name == "header" and not main or name not in ("html", "body", *MAIN) and is_chrome(m[3])
-            stack.append((name, gone, main))
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = close.end() if close else size
+        else:
+            if name in ENDS:
+                found, within = ENDS[name]
+                end(found, within | (CLOSED - found))
+            if name in BLOCKS and name not in IN_PARAGRAPH:
+                end({"p"}, CLOSED)
+            if name not in VOID and not (name not in BLOCKS and m[3].rstrip().endswith("/")):
+                _, named, main = stack[-1] if stack else ("", False, False)
+                main = main or name in MAIN
+                named = named or name in DROPPED or name == "header" and not main or name not in ("html", "body", *MAIN) and is_chrome(m[3])
+                stack.append((name, named, main))
     flush()
     return lines
 
 
-def common(a: list[str], b: list[str]) -> set[int]:
+def common(a: list, b: list) -> set[int]:
     """The places in a of one longest common subsequence of a and b (Hunt and Szymanski: time goes with the equal pairs)."""
-    where: dict[str, list[int]] = {}
-    for j, line in enumerate(b):
-        where.setdefault(line, []).append(j)
+    start = 0
+    while start < min(len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    stop = 0
+    while stop < min(len(a), len(b)) - start and a[-1 - stop] == b[-1 - stop]:
+        stop += 1
+    where: dict = {}
+    for j in range(start, len(b) - stop):
+        where.setdefault(b[j], []).append(j)
     ends: list[int] = []
     last: list[tuple] = []
-    for i, line in enumerate(a):
-        for j in reversed(where.get(line, ())):
+    for i in range(start, len(a) - stop):
+        for j in reversed(where.get(a[i], ())):
             k = bisect.bisect_left(ends, j)
             link = (i, last[k - 1] if k else None)
             if k == len(ends):
@@ -119,7 +157,7 @@ def common(a: list[str], b: list[str]) -> set[int]:
                 last.append(link)
             elif j < ends[k]:
                 ends[k], last[k] = j, link
-    out, link = set(), last[-1] if last else None
+    out, link = {*range(start), *range(len(a) - stop, len(a))}, last[-1] if last else None
     while link:
         out.add(link[0])
         link = link[1]
@@ -135,58 +173,110 @@ def alike(a: str, b: str) -> int:
     return n
 
 
-def marked_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for page in pdf["html"]:
-            lines = parse(page) if page else []
-            own = [line for line, main in lines if main]
-            out.append("\n\n".join(own or [line for line, _ in lines]))
-        yield pdf[["id", "url"]].assign(text=out)
-
-
-def differenced_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pages come in the order of host and path."""
-
-    def result(page, before, after):
-        near = [x for x in (before, after) if x is not None and x[0] == page[0] and x[0]]
-        lines = page[4]
-        if near:
-            nearest = max(near, key=lambda x: alike(x[1], page[1]))  # the one before, if both are as near
-            shared = common(lines, nearest[4])
-            lines = [x for i, x in enumerate(lines) if i not in shared]
-        return (page[2], page[3], "\n\n".join(lines))
-
-    before = page = None
+        pages = [parse(page) if page else [] for page in pdf["html"]]
+        yield pdf[["id", "url"]].assign(
+            lines=[[x for x, _ in p] for p in pages], marks=[[m for _, m in p] for p in pages],
+            hashes=[[xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in p] for p in pages],
+        )
+
+
+def align_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Which lines a page shares with its nearer neighbour (the one before, if both are as near)."""
     for pdf in batches:
         out = []
-        for host, path, id_, url, text in zip(pdf["host"], pdf["path"], pdf["id"], pdf["url"], pdf["html"]):
-            after = (host, path, id_, url, [line for line, _ in parse(text)] if text else [])
-            if page is not None:
-                out.append(result(page, before, after))
-            before, page = page, after
-        if out:
-            yield pd.DataFrame(out, columns=["id", "url", "text"])
-    if page is not None:
-        yield pd.DataFrame([result(page, before, None)], columns=["id", "url", "text"])
+        for row in pdf.itertuples(index=False):
+            sides = [x for x in ((row.before_path, row.before_id, row.before_hashes), (row.after_path, row.after_id, row.after_hashes)) if x[2] is not None]
+            _, neighbour, hashes = max(sides, key=lambda x: alike(x[0], row.path), default=(None, None, []))
+            shared = common(list(row.hashes), list(hashes))
+            out.append((row.uid, neighbour, [i in shared for i in range(len(row.hashes))]))
+        yield pd.DataFrame(out, columns=["uid", "neighbour", "shared"]).astype({"neighbour": object})
 
 
 by_value(__name__)
 
+ORDER = ["host", "path", "id", "digest", "uid"]
+
+
+def _beyond(rows: DataFrame, name: str, window: WindowSpec) -> DataFrame:
+    """Adds the page before each page's run of equal pages, in the window's order within a part: null where the run meets the part's edge."""
+    rows = rows.withColumn("_next", F.lag("page").over(window))
+    edge = F.col("_next").isNull() | (F.col("_next.host") != F.col("host")) | (F.col("_next.digest") != F.col("digest"))
+    carried = F.last(F.when(edge, F.struct(F.col("_next").alias("x"))), ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(name, carried["x"]).drop("_next")
+
+
+def _reach(parts: list[tuple]) -> list[tuple[int, int, bool]]:
+    """For parts in an order: where each one's first run finds the page before it, if anywhere.
+
+    parts: number, first run, last run (host and digest), whether one run fills the part. Returns (part, other part,
+    whether it is that part's last page; else the page before the last run there).
+    """
+    out: dict[int, tuple[int, bool]] = {}
+    for (p, _, last, filled), (n, first, _, _) in zip(parts, parts[1:]):
+        if last != first:
+            out[n] = (p, True)
+        elif not filled:
+            out[n] = (p, False)
+        elif p in out:
+            out[n] = out[p]
+    return [(n, *x) for n, x in out.items()]
+
+
+def neighbours(pages: DataFrame) -> DataFrame:
+    """pages: uid, id, host, path, hashes. Adds before and after: the next page of the host on either side whose lines
+    differ (id, path, hashes), or null. Pages are ordered by path, id and lines.
+
+    The driver sees two runs of each partition, as host and digest.
+    """
+    page = F.struct("id", "path", "hashes", "host", "digest")
+    pages = pages.withColumn("digest", F.xxhash64("hashes", F.size("hashes")))
+    rows = stored(pages.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()), "ordered").withColumn("page", page)
+    forth = Window.partitionBy("part").orderBy(*ORDER)
+    back = Window.partitionBy("part").orderBy(*(F.desc(c) for c in ORDER))
+    rows = _beyond(_beyond(rows, "before", forth), "after", back)
+    place = F.struct(*ORDER)
+    ends = rows.groupBy("part").agg(
+        F.min_by(F.struct("page", F.col("after").alias("next")), place).alias("first"), F.max_by(F.struct("page", F.col("before").alias("next")), place).alias("last")
+    )
+    ends = stored(ends, "edges")
+    run = lambda c: F.struct(F.col(f"{c}.page.host"), F.col(f"{c}.page.digest"))
+    runs = ends.select("part", run("first").alias("first"), run("last").alias("last"), F.col("last.next").isNull().alias("forth"), F.col("first.next").isNull().alias("back"))
+    runs = sorted(runs.collect())
+    reach = {"before": ("last", _reach([(p, first, last, filled) for p, first, last, filled, _ in runs])), "after": ("first", _reach([(p, last, first, filled) for p, first, last, _, filled in reversed(runs)]))}
+    for side, (end, links) in reach.items():
+        links = pages.sparkSession.createDataFrame(links, "part int, other int, edge boolean")
+        halo = links.join(ends.select(F.col("part").alias("other"), end), "other").select("part", F.when(F.col("edge"), F.col(f"{end}.page")).otherwise(F.col(f"{end}.next")).alias("halo"))
+        rows = rows.join(halo.hint("shuffle_hash"), "part", "left").withColumn(side, F.coalesce(side, "halo")).drop("halo")
+    own = lambda c, f: F.when(F.col(f"{c}.host") == F.col("host"), F.col(f"{c}.{f}")).alias(f"{c}_{f}")
+    return rows.select("uid", "path", "hashes", *(own(c, f) for c in ("before", "after") for f in ("id", "path", "hashes")))
+
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: the id, url, text (blocks joined by two newlines, empty if none) and n_chars (its code points).
+    """Per row: the id, url, text (blocks joined by two newlines, empty if none), n_chars (its code points), neighbour (the
+    id of the page that it was aligned with) and n_shared (how many of its lines that page shares).
 
-    Null html is empty. A page whose url is null, or has no host, has no neighbours. Repeated rows stay repeated, and
-    of pages without a marked article, pages with equal lines empty each other.
+    Null html is empty. A page whose url is null, or has no host, has no neighbour, and neither has one without another
+    page of its host whose lines differ. A page of which differencing would leave nothing keeps all that no mark-up
+    rules out. Repeated rows stay repeated, with equal results. An empty table gives no rows; of pages only the three
+    columns are read.
     """
     bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
-    host, path = url_parts(F.col(url_col))
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"), path.alias("path"))
-    marked = F.coalesce(F.col("html").rlike(r"(?i)<(article|main)[\s>]"), F.lit(True))
-    schema = f"id {kind}, url string, text string"
-    own = rows.filter(marked).select("id", "url", "html").mapInPandas(marked_rows, schema)
-    others = rows.filter(~marked).repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
-    both = own.unionByName(others.select("host", "path", "id", "url", "html").mapInPandas(differenced_rows, schema))
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    host, path = url_parts(F.col("url"))
+    parsed = rows.mapInPandas(parse_rows, f"id {kind}, url string, lines array<string>, marks array<int>, hashes array<bigint>")
+    parsed = stored(parsed.withColumns({"host": host, "path": path, "uid": F.monotonically_increasing_id()}), "parsed")
+    light = parsed.filter("host <> ''").select("uid", "id", "host", "path", "hashes")
+    aligned = neighbours(light).mapInPandas(align_rows, f"uid bigint, neighbour {kind}, shared array<boolean>")
+    both = parsed.select("uid", "id", "url", "lines", "marks").join(aligned.hint("shuffle_hash"), "uid", "left")
+    picked = lambda mark, more=lambda i: F.lit(True): F.filter("lines", lambda _, i: (F.get("marks", i) == mark) & more(i))
+    own, unshared = picked(OWN), picked(PLAIN, lambda i: ~F.coalesce(F.get("shared", i), F.lit(False)))
+    both = both.withColumns({"own": own, "unshared": unshared})
+    kept = F.when(F.size("own") > 0, F.col("own")).when(F.size("unshared") > 0, F.col("unshared")).otherwise(picked(PLAIN))
+    both = both.withColumn("text", F.array_join(kept, "\n\n"))
+    return both.select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"),
+        "neighbour", F.coalesce(F.size(F.filter("shared", lambda x: x)), F.lit(0)).cast("bigint").alias("n_shared"),
+    )
