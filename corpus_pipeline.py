@@ -1,7 +1,9 @@
 """A corpus pipeline: each stage takes the documents that the stage before it kept.
 
 Language ID, exact dedup, near dedup and decontamination return the columns of documents; packing returns pieces.
-A stage's columns are numbered while it works, so extra columns may have any names.
+A stage's columns are numbered while it works, so extra columns may have any names. Null text has no words and no
+letters; a row with a null doc_id is judged by its own text, as is each of several rows that share a doc_id; rows equal
+in doc_id and text share their fate, and keep their number. An empty table gives no rows. Texts may be of any length.
 """
 
 from __future__ import annotations
@@ -35,14 +37,16 @@ def _judged(docs: DataFrame, id_: str, text: str, kept: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go: those without letters, and those that fit no language's model."""
+    """Documents whose language is rejected go: those without letters (null and empty texts among them), and those that fit
+    no language's model. Without any labelled row nothing is learned, and every document goes."""
     rows, id_, text, lang = _numbered(docs)
     found = lang_id.identify(rows, lang_id.fit(rows, id_, text, lang), keep=rows.columns, text_col=text)
     return found.filter(~F.col("rejected")).select(rows.columns).toDF(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts, the one with the largest doc_id stays. Rows that repeat it are that document."""
+    """Of documents with equal texts (null is empty), the one with the largest doc_id stays, with all rows that repeat it; one
+    without a doc_id stays only if no document of its text has one."""
     rows, id_, text, _ = _numbered(docs)
     kept = exact_dedup.exact_dedup(rows, id_, text).filter("kept").select(F.struct(F.col(id_).alias("id"), "text_sha256"))
     key = F.struct(F.col(id_).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("text_sha256"))
@@ -50,13 +54,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, similarity 0.8), the document with the smallest doc_id stays."""
+    """Of each group of near copies (five words, similarity 0.8), the document with the smallest doc_id stays. Documents
+    without words, and rows without a doc_id, are copies of nothing."""
     rows, id_, text, _ = _numbered(docs)
     return _judged(rows, id_, text, near_dedup.verdicts(rows, id_, text).filter("kept")).toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of any benchmark item go: here one item is enough."""
+    """Documents that hold a passage of any benchmark item go: here one item is enough. Items without an id or words hold
+    nothing; an empty benchmark keeps all documents."""
     rows, id_, text, _ = _numbered(docs)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     clean = decontam.PositionalIndex(rows, bench, id_, text).verdicts(least_items=1).filter(~F.col("contaminated"))
@@ -64,6 +70,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens with their places in sequences; null text is the end token alone, and no row is left out."""
     return packing.pack(docs, tokenizer_path())
 
 
