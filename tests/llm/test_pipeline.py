@@ -51,6 +51,28 @@ def test_rows_that_share_an_id_go_by_their_own_text(spark, tmp_path):
     assert got.columns == docs.columns and rows(got) == sorted([(3, copy), (5, other), (None, copy), (None, clean), (6, last), (6, last)], key=repr)
 
 
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, repeated rows, nulls in every column, very long texts, and columns with the operators' names."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id long, row long, score double, text_sha256 string, c0 int, `a.b` string"
+    rng = random.Random(6)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    long, item, more = text(60_000), text(30), (None, None, None, None, None, "t", 1, None)
+    bench = spark.createDataFrame([(1, item), (None, text(9)), (2, None)], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, long, "en", *more), (2, long + " end", "en", *more), (3, f"{long} {item}", "en", *more), (4, text(50), "en", *more), (4, None, None, *more), (None, text(50), None, *more), (None, None, "en", *more)]
+    for given in ([], [*rows, *rows]):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert name == "packing" or out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        ids = sorted({r["doc_id"] for r in docs.collect()}, key=repr)
+        assert ids == ([1, 4, None] if given else []), name
+    none = spark.createDataFrame([], bench.schema)
+    none.write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    assert corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, schema), f"{tmp_path}/none").count() == len(rows)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fixed"] and out.count() > 100
