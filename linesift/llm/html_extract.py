@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value, stored
+from .common import bounded_batches, by_value, row_hash, same_row, stored
 from .url_filter import url_parts
 
 # Names of HTML elements, by what they do.
@@ -173,13 +173,24 @@ def alike(a: str, b: str) -> int:
     return n
 
 
-def parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The hashes of each page's lines."""
     for pdf in batches:
-        pages = [parse(page) if page else [] for page in pdf["html"]]
-        yield pdf[["id", "url"]].assign(
-            lines=[[x for x, _ in p] for p in pages], marks=[[m for _, m in p] for p in pages],
-            hashes=[[xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in p] for p in pages],
-        )
+        lines = [[xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in parse(page)] if page else [] for page in pdf["html"]]
+        yield pdf.drop(columns="html").assign(hashes=lines)
+
+
+def text_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """own: the text inside a marked article, or null without one; then plain: the other lines that no mark-up rules out, with
+    their places among all lines."""
+    for pdf in batches:
+        out = []
+        for page in pdf["html"]:
+            lines = parse(page) if page else []
+            own = [x for x, mark in lines if mark == OWN]
+            plain = [] if own else [(x, i) for i, (x, mark) in enumerate(lines) if mark == PLAIN]
+            out.append(("\n\n".join(own) if own else None, [x for x, _ in plain], [i for _, i in plain]))
+        yield pdf[["id", "url", "row"]].assign(own=[x[0] for x in out], plain=[x[1] for x in out], places=[x[2] for x in out])
 
 
 def align_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,13 +201,13 @@ def align_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sides = [x for x in ((row.before_path, row.before_id, row.before_hashes), (row.after_path, row.after_id, row.after_hashes)) if x[2] is not None]
             _, neighbour, hashes = max(sides, key=lambda x: alike(x[0], row.path), default=(None, None, []))
             shared = common(list(row.hashes), list(hashes))
-            out.append((row.uid, neighbour, [i in shared for i in range(len(row.hashes))]))
-        yield pd.DataFrame(out, columns=["uid", "neighbour", "shared"]).astype({"neighbour": object})
+            out.append((row.id, row.row, neighbour, [i in shared for i in range(len(row.hashes))]))
+        yield pd.DataFrame(out, columns=["id", "row", "neighbour", "shared"]).astype({"id": object, "neighbour": object})
 
 
 by_value(__name__)
 
-ORDER = ["host", "path", "id", "digest", "uid"]
+ORDER = ["host", "path", "id", "digest"]
 
 
 def _beyond(rows: DataFrame, name: str, window: WindowSpec) -> DataFrame:
@@ -225,8 +236,9 @@ def _reach(parts: list[tuple]) -> list[tuple[int, int, bool]]:
 
 
 def neighbours(pages: DataFrame) -> DataFrame:
-    """pages: uid, id, host, path, hashes. Adds before and after: the next page of the host on either side whose lines
-    differ (id, path, hashes), or null. Pages are ordered by path, id and lines.
+    """pages: id, row, host, path, hashes. Adds before and after: the next page of the host on either side whose lines
+    differ (id, path, hashes), or null. Pages are ordered by path, id and lines, and
+    those that are equal in all of them have the same neighbours.
 
     The driver sees two runs of each partition, as host and digest.
     """
@@ -250,7 +262,7 @@ def neighbours(pages: DataFrame) -> DataFrame:
         halo = links.join(ends.select(F.col("part").alias("other"), end), "other").select("part", F.when(F.col("edge"), F.col(f"{end}.page")).otherwise(F.col(f"{end}.next")).alias("halo"))
         rows = rows.join(halo.hint("shuffle_hash"), "part", "left").withColumn(side, F.coalesce(side, "halo")).drop("halo")
     own = lambda c, f: F.when(F.col(f"{c}.host") == F.col("host"), F.col(f"{c}.{f}")).alias(f"{c}_{f}")
-    return rows.select("uid", "path", "hashes", *(own(c, f) for c in ("before", "after") for f in ("id", "path", "hashes")))
+    return rows.select("id", "row", "path", "hashes", *(own(c, f) for c in ("before", "after") for f in ("id", "path", "hashes")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -264,18 +276,17 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     bounded_batches(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("row", row_hash("id", "url", "html"))
     host, path = url_parts(F.col("url"))
-    parsed = rows.mapInPandas(parse_rows, f"id {kind}, url string, lines array<string>, marks array<int>, hashes array<bigint>")
-    parsed = stored(parsed.withColumns({"host": host, "path": path, "uid": F.monotonically_increasing_id()}), "parsed")
-    light = parsed.filter("host <> ''").select("uid", "id", "host", "path", "hashes")
-    aligned = neighbours(light).mapInPandas(align_rows, f"uid bigint, neighbour {kind}, shared array<boolean>")
-    both = parsed.select("uid", "id", "url", "lines", "marks").join(aligned.hint("shuffle_hash"), "uid", "left")
-    picked = lambda mark, more=lambda i: F.lit(True): F.filter("lines", lambda _, i: (F.get("marks", i) == mark) & more(i))
-    own, unshared = picked(OWN), picked(PLAIN, lambda i: ~F.coalesce(F.get("shared", i), F.lit(False)))
-    both = both.withColumns({"own": own, "unshared": unshared})
-    kept = F.when(F.size("own") > 0, F.col("own")).when(F.size("unshared") > 0, F.col("unshared")).otherwise(picked(PLAIN))
-    both = both.withColumn("text", F.array_join(kept, "\n\n"))
+    placed = rows.select("id", "row", host.alias("host"), path.alias("path"), "html").filter("host <> ''")
+    light = placed.mapInPandas(hash_rows, f"id {kind}, row bigint, host string, path string, hashes array<bigint>")
+    aligned = neighbours(light).mapInPandas(align_rows, f"id {kind}, row bigint, neighbour {kind}, shared array<boolean>").dropDuplicates(["id", "row"])
+    # Pages are parsed again rather than stored: only what can be text is moved, once.
+    texts = rows.mapInPandas(text_rows, f"id {kind}, url string, row bigint, own string, plain array<string>, places array<int>")
+    both = same_row(texts, aligned, "left")
+    unshared = F.filter("plain", lambda _, i: ~F.coalesce(F.get("shared", F.get("places", i)), F.lit(False)))
+    both = both.withColumn("unshared", unshared)
+    both = both.withColumn("text", F.coalesce("own", F.array_join(F.when(F.size("unshared") > 0, F.col("unshared")).otherwise(F.col("plain")), "\n\n")))
     return both.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"),
         "neighbour", F.coalesce(F.size(F.filter("shared", lambda x: x)), F.lit(0)).cast("bigint").alias("n_shared"),
