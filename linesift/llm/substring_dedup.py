@@ -55,9 +55,9 @@ def seed_rows(window: int, seed: int):
         for pdf in batches:
             texts = encoded(pdf["text"])
             for i, j in chunks(texts):
-                (words, _), first = word_hashes(texts[i:j])
-                whole = [digest(b" ".join(t.split())) for t in texts[i:j]]
-                starts, text, place, hashes = anchored(words, first, window, seed)
+                lanes, first = word_hashes(texts[i:j])
+                whole = [digest(b"".join(x[a:b].tobytes() for x in lanes)) for a, b in zip(first, first[1:])]
+                starts, text, place, hashes = anchored(lanes[0], first, window, seed)
                 cut = np.searchsorted(text, np.arange(j - i + 1))
                 own = [np.unique(signed(hashes[cut[k] : cut[k + 1]])) for k in range(j - i)]
                 yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "row": pdf["row"].iloc[i:j].to_numpy(), "n": np.diff(first), "q1": [x[0] for x in whole], "q2": [x[1] for x in whole], "anchors": own})

@@ -1,15 +1,15 @@
-"""Hashes of the words of many texts at once, with numpy: no loop over words but a look-up.
+"""Hashes of the words of many texts at once, with numpy: no loop over words.
 
-A word's hash is the 128 bits of XXH3, kept as two columns (lanes) of 64 bits. A run of n words is hashed by doubling:
-the hash of 2m words is a mix of the hashes of its halves, so log2(n) passes over the arrays give the hash of the run
-that starts at each word. The mix is no polynomial, and each lane mixes its own half of the word hashes, so runs that
-differ share both lanes with a probability of about 2**-128, whatever their words repeat.
+A word is read in blocks of 8 bytes. Each block is mixed into two lanes of 64 bits, and so is the word's length; the mixes
+aren't linear, and differ between the lanes, so words that differ share both with a probability of about 2**-128. A
+run of n words is hashed by doubling: the hash of 2m words is a mix of the hashes of its halves, so log2(n) passes over
+the arrays give the hash of the run that starts at each word. There is no polynomial whose sums repeated patterns could
+bring to agree.
 """
 
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +18,13 @@ import xxhash
 U = np.uint64
 #: Bytes that are hashed at once.
 CHUNK = 1 << 21
-#: Words whose hashes each Python worker remembers, and the longest word that it does.
-REMEMBERED, LONGEST = 300_000, 64
+#: Bytes up to which words are read in blocks together; longer ones are hashed one by one.
+LONGEST = 64
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
+BLANKS = np.zeros(256, bool)
+BLANKS[[9, 10, 11, 12, 13, 32]] = True
+#: What is left of a block of 8 bytes, by how many are the word's.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 #: Odd multipliers of the lanes.
 LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -32,20 +36,6 @@ def fmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-class Words(dict):
-    """The place of each word's digest in digests. Long words are hashed each time."""
-
-    def __init__(self):
-        self.digests = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        at = len(self.digests) >> 4
-        self.digests += xxhash.xxh3_128_digest(word)
-        if len(word) <= LONGEST:
-            self[word] = at
-        return at
-
-
 def parts(text: bytes) -> Iterator[bytes]:
     """A text in parts of about CHUNK bytes that end between words."""
     at = 0
@@ -55,22 +45,44 @@ def parts(text: bytes) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both lanes of the hash of each word of some texts, and each text's number of words."""
+    data = b"\n".join(texts) + b"\n" + bytes(16)
+    size = len(data) - 16
+    blank = BLANKS[np.frombuffer(data, np.uint8, size)]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate(([0], edge))
+    start, end = edge[::2], edge[1::2]
+    long = end - start
+    at = np.ndarray((size + 8,), "<u8", data, strides=(1,))  # the 8 bytes from each place on
+    lanes = [fmix(long.astype(U) * U(m)) for m in LANES]
+    left = np.arange(len(start))
+    for k in range(0, min(LONGEST, int(long.max(initial=0))), 8):
+        if k:
+            left = left[long[left] > k]
+        block = at[start[left] + k] & MASKS[np.minimum(long[left] - k, 8)]
+        for lane, m in zip(lanes, LANES):
+            lane[left] = fmix(lane[left] * U(m) + (block ^ U(m >> 7)))
+    for i in np.flatnonzero(long > LONGEST):
+        lanes[0][i], lanes[1][i] = np.frombuffer(xxhash.xxh3_128_digest(data[start[i] : end[i]]), U)
+    first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
+    return *lanes, np.diff(np.searchsorted(start, first))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Both lanes of the hash of each word, and the place of each text's first word (with the total as the last)."""
-    seen = sys.__dict__.get("_linesift_hashed")  # one for each Python worker, across tasks
-    if seen is None or len(seen.digests) > 16 * REMEMBERED:
-        seen = sys.__dict__["_linesift_hashed"] = Words()
-    places, first = [], np.zeros(len(texts) + 1, np.int64)
+    owner, pieces = [], []
     for i, text in enumerate(texts):
-        n = 0
         for part in parts(text):
-            words = part.split()  # bytes.split() parts at the six ASCII blanks
-            places.append(np.fromiter(map(seen.__getitem__, words), np.int64, len(words)))
-            n += len(words)
-        first[i + 1] = first[i] + n
-    table = np.frombuffer(bytes(seen.digests), U).reshape(-1, 2)
-    at = np.concatenate(places) if places else np.empty(0, np.int64)
-    return [table[at, 0], table[at, 1]], first
+            owner.append(i)
+            pieces.append(part)
+    found = [_words(pieces[i:j]) for i, j in chunks(pieces)]
+    if not found:
+        return [np.empty(0, U), np.empty(0, U)], np.zeros(len(texts) + 1, np.int64)
+    a, b, n = (np.concatenate(x) for x in zip(*found))
+    first = np.concatenate(([0], np.cumsum(np.bincount(owner, n, len(texts)).astype(np.int64))))
+    return [a, b], first
 
 
 def joined(left: np.ndarray, right: np.ndarray, lane: int, long: int) -> np.ndarray:
