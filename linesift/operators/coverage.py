@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plural
 
-DEFINITION = r"^\s*(?:export\s+)?(?:pub\s+)?(?:async\s+)?(?:def|class|func|fn|function|struct|enum|trait|impl|interface|type|module|const|let|var)\b"
+# The words that start a definition, those that may stand before them; group 1 is the name.
+DEFINERS = "def class func fn function struct enum trait impl interface type module const let var".split()
+BEFORE_DEFINERS = "export pub async".split()
+DEFINITION = rf"^\s*(?:(?:{'|'.join(BEFORE_DEFINERS)})(?:\([a-z]+\))?\s+)*(?:{'|'.join(DEFINERS)})\b(?:\s*\([^)]*\))?\s*\*?\s*([A-Za-z_]\w*)?"
 
 
 def file_index(lines: DataFrame, definition: str = DEFINITION) -> DataFrame:

@@ -86,7 +86,7 @@ def flat_content(rows: DataFrame) -> DataFrame:
     is_match = F.when(match, F.lit(True)).when(F.col("i").isNotNull() | guess, F.lit(False))
     return rows.select(
         "output_id", "seq", "line", F.when(match, F.regexp_extract("line", MATCH, 1)).when(F.col("i").isNotNull(), F.expr("substring(line, 1, i - 1)")).when(guess, first).alias("path"),
-        F.when(match, F.regexp_extract("line", MATCH, 2)).when(F.col("i").isNotNull(), F.regexp_extract(rest, r"^-([0-9]+)-", 1)).when(guess, F.regexp_extract("line", CONTEXT, 2)).cast("bigint").alias("number"),
+        F.when(match, F.regexp_extract("line", MATCH, 2)).when(F.col("i").isNotNull(), F.regexp_extract(rest, r"^-([0-9]+)-", 1)).when(guess, F.regexp_extract("line", CONTEXT, 2)).try_cast("bigint").alias("number"),
         F.when(match, F.regexp_extract("line", MATCH, 3)).when(F.col("i").isNotNull(), F.regexp_replace(rest, r"^-[0-9]+-", "")).when(guess, F.regexp_extract("line", CONTEXT, 3)).alias("text"), is_match.alias("is_match"),
     )
 
@@ -96,7 +96,7 @@ def headed_content(rows: DataFrame) -> DataFrame:
     bare = F.col("line").rlike(BARE)
     head = F.when(blank(F.col("line")), F.lit("")).when(~bare & (F.col("line") != "--") & looks_like_path(F.col("line")), F.col("line"))
     rows = rows.withColumn("path", F.last(head, ignorenulls=True).over(up_to()))
-    return rows.filter(bare).select("output_id", "seq", F.coalesce("path", F.lit("")).alias("path"), F.regexp_extract("line", BARE, 1).cast("bigint").alias("number"), F.regexp_extract("line", BARE, 3).alias("text"), (F.regexp_extract("line", BARE, 2) == ":").alias("is_match"))
+    return rows.filter(bare).select("output_id", "seq", F.coalesce("path", F.lit("")).alias("path"), F.regexp_extract("line", BARE, 1).try_cast("bigint").alias("number"), F.regexp_extract("line", BARE, 3).alias("text"), (F.regexp_extract("line", BARE, 2) == ":").alias("is_match"))
 
 
 def same_line_groups(rows: DataFrame, head: str) -> DataFrame:
@@ -104,7 +104,7 @@ def same_line_groups(rows: DataFrame, head: str) -> DataFrame:
     text = F.when(F.col("line").rlike(head), F.regexp_extract("line", head, 1)).when(~F.col("line").rlike(r"^  (?:.+:)?[0-9]+(?:,[0-9]+)*$"), F.lit("\0"))
     rows = rows.withColumn("text", F.last(text, ignorenulls=True).over(up_to())).filter((F.col("text") != "\0") & ~F.col("line").rlike(head))
     place = r"^  (?:(.+):)?([0-9]+(?:,[0-9]+)*)$"
-    numbers = F.split(F.regexp_extract("line", place, 2), ",").cast("array<bigint>")
+    numbers = F.split(F.regexp_extract("line", place, 2), ",").try_cast("array<bigint>")
     return rows.select("output_id", "seq", F.regexp_extract("line", place, 1).alias("path"), F.explode(numbers).alias("number"), "text", F.lit(True).alias("is_match"))
 
 
@@ -113,7 +113,7 @@ def select_string(rows: DataFrame) -> DataFrame:
     use = rows.filter(~blank(F.col("line")))
     ok = use.groupBy("output_id").agg((F.bool_and(F.col("line").rlike(SELECT_STRING)) & F.bool_or(F.col("line").rlike(r"^> \S"))).alias("ok")).filter("ok")
     part = lambda i: F.regexp_extract("line", SELECT_STRING, i)
-    return use.join(ok, "output_id").select("output_id", "seq", part(2).alias("path"), part(3).cast("bigint").alias("number"), part(4).alias("text"), (part(1) == "> ").alias("is_match"))
+    return use.join(ok, "output_id").select("output_id", "seq", part(2).alias("path"), part(3).try_cast("bigint").alias("number"), part(4).alias("text"), (part(1) == "> ").alias("is_match"))
 
 
 EVENT = "struct<type:string,data:struct<path:struct<text:string>,lines:struct<text:string>,line_number:bigint>>"
@@ -142,7 +142,7 @@ def listed_entries(rows: DataFrame) -> DataFrame:
 
 def parse_counts(rows: DataFrame) -> DataFrame:
     e = listed_entries(rows).filter(F.col("entry").rlike(COUNT))
-    return e.select("output_id", "seq", F.regexp_extract("entry", COUNT, 1).alias("path"), F.regexp_extract("entry", COUNT, 2).cast("bigint").alias("count"))
+    return e.select("output_id", "seq", F.regexp_extract("entry", COUNT, 1).alias("path"), F.regexp_extract("entry", COUNT, 2).try_cast("bigint").alias("count"))
 
 
 def reliable(rows: DataFrame, parsed: DataFrame) -> DataFrame:

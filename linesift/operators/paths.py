@@ -69,22 +69,25 @@ def tree_levels(rows: DataFrame, budget: int) -> DataFrame:
     return rows.join(level, "output_id", "left")
 
 
-def tree_hidden(rows: DataFrame, budget: int, most_levels: int = 12) -> DataFrame:
-    """output_id, owner, n: the rows below the level that fits, under the kept entry that they belong to.
+def tree_hidden(rows: DataFrame, budget: int) -> DataFrame:
+    """output_id, owner, n: the rows below the level that fits, under the kept entry that they belong to, as a path.
 
-    A listing is one text; its rows are walked in order, by a window over the listing.
+    Only kept rows, as many as the budget holds, are gathered: a walk over them, in order, gives each one's path. A row
+    below belongs to the kept one before it.
     """
     entry = r"^(?:[│|]\s{3}|\s{4})*(?:├──|└──|\|--|`--)\s"
     rows = tree_levels(rows, budget).filter("level is not null").withColumn("name", F.trim(F.regexp_replace("text", entry, "")))
+    kept = rows.filter("depth > 0 and depth <= level").groupBy("output_id").agg(F.array_sort(F.collect_list(F.struct("seq", "depth", "name"))).alias("kept"))
+    start = F.struct(F.array().cast("array<string>").alias("at"), F.array().cast("array<struct<seq:bigint,owner:string>>").alias("out"))
+
+    def step(acc, x):
+        at = F.concat(F.slice(acc["at"], F.lit(1), x["depth"].cast("int") - 1), F.array(x["name"]))
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(F.struct(x["seq"].cast("bigint").alias("seq"), F.array_join(at, "/").alias("owner")))).alias("out"))
+
+    owners = kept.select("output_id", F.explode(F.aggregate("kept", start, step)["out"]).alias("o")).select("output_id", "o.seq", "o.owner")
     up_to = Window.partitionBy("output_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    for d in range(1, most_levels + 1):
-        rows = rows.withColumn(f"d{d}", F.last(F.when(F.col("depth") == d, F.struct("seq", "name")), ignorenulls=True).over(up_to))
-    owner, since = F.array(), F.lit(-1).cast("bigint")
-    for d in range(1, most_levels + 1):
-        here = (F.col("level") >= d) & (F.col(f"d{d}.seq") > since)
-        owner = F.when(here, F.concat(owner.cast("array<string>"), F.array(F.col(f"d{d}.name")))).otherwise(owner.cast("array<string>"))
-        since = F.when(here, F.col(f"d{d}.seq")).otherwise(F.lit(1 << 62))
-    return rows.filter("depth > level").select("output_id", F.array_join(owner, "/").alias("owner")).groupBy("output_id", "owner").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.join(owners, ["output_id", "seq"], "left").withColumn("owner", F.coalesce(F.last("owner", ignorenulls=True).over(up_to), F.lit("")))
+    return rows.filter("depth > level").groupBy("output_id", "owner").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ls_sections(rows: DataFrame) -> DataFrame:

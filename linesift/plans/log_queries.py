@@ -52,16 +52,14 @@ NAME_SQL = "'orders::o' || l_orderkey || '_' || l_linenumber"
 @query(log_sql(f"'test ' || {NAME_SQL} || ' ... ' || CASE WHEN l_linestatus = 'F' THEN 'ok' ELSE 'FAILED' END", "test result: FAILED.") + " SELECT output_id, seq, text FROM lg WHERE NOT (starts_with(text, 'test orders') AND ends_with(text, ' ... ok'))")
 def compact_pass_lines(spark, sf_dir):
     rows = log(items(spark, sf_dir), F.concat(F.lit("test "), name(), F.lit(" ... "), F.when(passed(), "ok").otherwise("FAILED")), "test result: FAILED.")
-    _, mark, passing = logs.SIMPLE_RUNNERS[0]
-    return logs.drop_passing(rows, mark, passing).filter("label is null").select("output_id", "seq", "text")
+    return logs.drop_passing(rows, "cargo").filter("label is null").select("output_id", "seq", "text")
 
 
 @query(log_sql(f"'tests/test_' || l_returnflag || '.py::test_' || l_orderkey || '_' || l_linenumber || ' ' || CASE WHEN l_linestatus = 'F' THEN 'PASSED' ELSE 'FAILED' END || '  [ 10%]'", "==== 1 failed in 1.5s ====", "==== test session starts ====") + " SELECT output_id, count(*) FILTER (contains(text, ' PASSED ')) AS n FROM lg GROUP BY 1 HAVING count(*) FILTER (contains(text, ' PASSED ')) > 0")
 def compact_pytest_lines(spark, sf_dir):
     text = F.concat(F.lit("tests/test_"), F.col("l_returnflag"), F.lit(".py::test_"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit(" "), F.when(passed(), "PASSED").otherwise("FAILED"), F.lit("  [ 10%]"))
     rows = log(items(spark, sf_dir), text, "==== 1 failed in 1.5s ====", "==== test session starts ====")
-    _, mark, passing = logs.SIMPLE_RUNNERS[3]
-    return logs.counters(logs.drop_passing(rows, mark, passing)).select("output_id", "n")
+    return logs.counters(logs.drop_passing(rows, "pytest")).select("output_id", "n")
 
 
 @query(log_sql("'   ' || CASE WHEN l_partkey < 150 THEN 'Compiling' WHEN l_returnflag = 'A' THEN 'Fresh' ELSE 'warning:' END || ' pkg' || l_partkey || ' v1.' || l_linenumber") + """, p AS (SELECT *, regexp_matches(text, '^ +(Compiling|Fresh) ') AS hit FROM lg), c AS (SELECT output_id, count(*) FILTER (hit) AS n FROM p GROUP BY 1)
@@ -149,7 +147,7 @@ ok AS (SELECT output_id, message, lead_ FROM g JOIN pp USING (output_id, message
 w AS (SELECT f.output_id, f.message, f.path, min(f.seq) AS first, count(*) AS n, f.path || ' ' || string_agg(pos, ' ' ORDER BY seq) AS t FROM f JOIN ok ON f.output_id = ok.output_id AND f.message = ok.message WHERE seq <> lead_ GROUP BY 1, 2, 3)
 SELECT output_id, message, CAST(sum(n) AS BIGINT) AS places, string_agg(t, '; ' ORDER BY first) AS listed FROM w GROUP BY 1, 2""")
 def diag_group_places(spark, sf_dir):
-    return logs.places(logs.diagnostics(diag_log(spark, sf_dir)))
+    return logs.places(logs.diagnostics(diag_log(spark, sf_dir))).select("output_id", "message", "places", "listed")
 
 
 GO_TEXT = f"CASE WHEN l_linenumber <= 2 THEN '=== RUN   Test' || l_partkey WHEN l_linestatus = 'F' THEN '    --- PASS: Test' || l_partkey ELSE '    log ' || {NAME_SQL} END"
@@ -186,12 +184,26 @@ def coverage_full_rows(spark, sf_dir):
     return logs.drop_covered(log(items(spark, sf_dir), text, first="Name  Stmts  Miss  Cover")).filter("label is null").select("output_id", "seq", "text")
 
 
-@query(log_sql("CASE WHEN l_linenumber = 1 THEN 'a.py ..' || CASE WHEN l_linestatus = 'F' THEN '.F' ELSE 'F.' END ELSE 'FAILED a.py::t' || l_orderkey END", first="==== test session starts ====") + """, x AS (SELECT *, row_number() OVER (PARTITION BY output_id ORDER BY seq) AS i FROM lg) SELECT output_id, count(*) AS n FROM x WHERE false GROUP BY 1""")
-def failing_progress_unlisted(spark, sf_dir):
-    """Progress lines stay where no summary lists their failures: here, no log has one."""
-    text = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("a.py .."), F.when(passed(), ".F").otherwise("F."))).otherwise(F.concat(F.lit("FAILED a.py::t"), F.col("l_orderkey").cast("string")))
-    rows = logs.failing_progress(log(items(spark, sf_dir), text, first="==== test session starts ===="))
-    return logs.counters(rows).select("output_id", "n")
+# A pytest log for each supplier: a progress line for each order, then a summary that lists failures (of most suppliers all of them).
+FAILURES = "CASE WHEN l_linenumber = 1 THEN 'a.py ..' || CASE WHEN l_linestatus = 'F' THEN '.F' ELSE 'F.' END ELSE '.x.' END"
+LISTED_SQL = f"""WITH {ITEMS}, n AS (SELECT output_id, max(r) AS n, count(*) FILTER (l_linenumber = 1) AS f FROM it GROUP BY 1),
+lg AS (SELECT output_id, r + 1 AS seq, {FAILURES} AS text FROM it UNION ALL SELECT DISTINCT output_id, 1, '==== test session starts ====' FROM it UNION ALL SELECT output_id, n + 2, '==== short test summary info ====' FROM n
+  UNION ALL SELECT output_id, n + 2 + r, 'FAILED a.py::t' || r FROM n JOIN it USING (output_id) WHERE r <= f - CASE WHEN CAST(output_id AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END)"""
+
+
+@query(LISTED_SQL + " SELECT output_id, count(*) AS n FROM lg JOIN n USING (output_id) WHERE regexp_matches(text, '^a[.]py [.F]+$') AND CAST(output_id AS BIGINT) % 3 <> 0 GROUP BY 1")
+def failing_progress_listed(spark, sf_dir):
+    """Progress lines go where the summary lists all their failures, and stay where it leaves one out."""
+    rows = items(spark, sf_dir)
+    first = F.col("l_linenumber") == 1
+    text = F.when(first, F.concat(F.lit("a.py .."), F.when(passed(), ".F").otherwise("F."))).otherwise(".x.")
+    sums = rows.groupBy("output_id").agg(F.max("r").alias("n"), F.count_if(first).alias("f"))
+    short = F.when(F.col("output_id").cast("bigint") % 3 == 0, 1).otherwise(0)
+    listed = rows.join(sums, "output_id").filter(F.col("r") <= F.col("f") - short)
+    log_ = log(rows, text, first="==== test session starts ====")
+    log_ = log_.unionByName(sums.select("output_id", (F.col("n") + 2).alias("seq"), F.lit("==== short test summary info ====").alias("text")))
+    log_ = log_.unionByName(listed.select("output_id", (F.col("n") + 2 + F.col("r")).alias("seq"), F.concat(F.lit("FAILED a.py::t"), F.col("r").cast("string")).alias("text")))
+    return logs.counters(logs.failing_progress(log_)).select("output_id", "n")
 
 
 @query(DIAGS + """, f AS (SELECT *, row_number() OVER (PARTITION BY output_id, path, pos, message ORDER BY seq) AS r FROM dg) SELECT output_id, 'duplicate diagnostic lines' AS label, count(*) AS n, min(seq) AS first FROM f WHERE r > 1 GROUP BY 1""")

@@ -69,20 +69,16 @@ BM25_INTENT, BM25_PATTERN = "err thnt erth tion onn", "sh"
 
 @query(f"WITH {found(1, 1)}, {BLOCKS}, {UNITS}, {UNIT_ROWS}, {BM25} SELECT output_id, pth AS path, block, unit, round(score, 6) AS score FROM sc")
 def bm25_units(spark, sf_dir):
-    u = rank.units(search(spark, sf_dir, 1, 1))
-    scored = rank.SCORERS["lexical"](u, ["path", "block", "unit"], BM25_INTENT, BM25_PATTERN)
-    return scored.withColumn("score", F.round("score", 6))
+    scored = rank.bm25(rank.units(search(spark, sf_dir, 1, 1)), (BM25_INTENT, BM25_PATTERN))
+    return scored.select("output_id", "path", "block", "unit", F.round("score", 6).alias("score"))
 
 
 def ranked_units(spark, sf_dir, most: int | None = None):
     """Units by score; scores that differ by less than 1e-6 count as equal, ties go to the earlier unit."""
-    u = rank.units(search(spark, sf_dir, 1, 1))
-    scored = rank.bm25(u, ["path", "block", "unit"], BM25_INTENT, BM25_PATTERN).withColumn("score", F.round("score", 6))
-    rows = u.drop("text").join(scored, ["output_id", "path", "block", "unit"])
+    scored = rank.bm25(rank.units(search(spark, sf_dir, 1, 1)), (BM25_INTENT, BM25_PATTERN)).drop("text", "defined").withColumn("score", F.round("score", 6))
     if most:
-        return rank.shortlist(rows, most)
-    order = Window.partitionBy("output_id").orderBy(F.desc("score"), "first")
-    return rows.withColumn("rank", F.row_number().over(order))
+        return rank.shortlist(scored, most)
+    return rank.with_place(scored, [F.desc("score"), F.col("first")])
 
 
 RANKED = f"{found(1, 1)}, {BLOCKS}, {UNITS}, {UNIT_ROWS}, {BM25}, rk AS (SELECT ur.*, round(score, 6) AS score, row_number() OVER (PARTITION BY ur.output_id ORDER BY round(score, 6) DESC, first) AS rank FROM ur JOIN sc ON ur.output_id = sc.output_id AND ur.path = sc.pth AND ur.block = sc.block AND ur.unit = sc.unit)"

@@ -285,7 +285,7 @@ def tree_depth_limit(spark, sf_dir):
 lv AS (SELECT output_id, max(dep) AS level FROM z WHERE total <= 1500 AND dep < deepest GROUP BY output_id)
 SELECT output_id, CASE WHEN level = 1 THEN k1 ELSE k1 || '/' || k2 END AS owner, count(*) AS n FROM tr JOIN lv USING (output_id) WHERE dep > level GROUP BY 1, 2""")
 def tree_hidden_entries(spark, sf_dir):
-    return paths.tree_hidden(tree_listing(spark, sf_dir), 1500, most_levels=3)
+    return paths.tree_hidden(tree_listing(spark, sf_dir), 1500)
 
 
 # ls -R of the pages: a section for the root, each host and each host/language.

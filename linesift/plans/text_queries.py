@@ -1,4 +1,4 @@
-"""Queries whose result is a whole text for each output. SQL can't express them; tests hold them against invariants."""
+"""Queries whose result is a whole text for each output."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import lines
 from ..streaming import session
-from ..texts import api
-from ..texts.views import Config
+from ..views.compact import compact_outputs
+from ..views.slim import slim_outputs
+from ..views.text import Config, view_config
 from . import log_queries
 from .rank_queries import printed_outputs
 from .registry import query, table
@@ -24,36 +25,36 @@ def search_outputs(spark, sf_dir):
 
 @query()
 def slim_lossless(spark, sf_dir):
-    return api.slim_outputs(search_outputs(spark, sf_dir), api.view_config("lossless"))
+    return slim_outputs(search_outputs(spark, sf_dir), view_config("lossless"))
 
 
 @query()
 def slim_notes(spark, sf_dir):
-    return api.slim_outputs(search_outputs(spark, sf_dir), Config(max_tokens=600, view="notes"))
+    return slim_outputs(search_outputs(spark, sf_dir), Config(max_tokens=600, view="notes"))
 
 
 @query()
 def slim_coverage(spark, sf_dir):
     rows = search_outputs(spark, sf_dir).withColumn("intent", F.lit("err thnt erth")).withColumn("pattern", F.lit("the"))
-    return api.slim_outputs(rows, Config(max_tokens=600, view="coverage"))
+    return slim_outputs(rows, Config(max_tokens=600, view="coverage"))
 
 
 @query()
 def slim_paths(spark, sf_dir):
     rows = url_paths(spark, sf_dir).select(F.regexp_extract("path", "^([^/]*)", 1).alias("output_id"), "seq", F.col("path").alias("line"))
-    return api.slim_outputs(printed_outputs(rows), Config(max_tokens=300, view="notes"))
+    return slim_outputs(printed_outputs(rows), Config(max_tokens=300, view="notes"))
 
 
 @query()
 def compact_diagnostics(spark, sf_dir):
     rows = log_queries.diag_log(spark, sf_dir).select("output_id", "seq", F.col("text").alias("line"))
-    return api.compact_outputs(printed_outputs(rows))
+    return compact_outputs(printed_outputs(rows))
 
 
 @query()
 def compact_event_logs(spark, sf_dir):
     rows = log_queries.event_log(spark, sf_dir).select("output_id", "seq", F.col("text").alias("line"))
-    return api.compact_outputs(printed_outputs(rows))
+    return compact_outputs(printed_outputs(rows))
 
 
 @query("SELECT 's' || user_id AS session, CAST(event_id AS VARCHAR) AS key FROM (SELECT *, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id) AS last FROM events) WHERE event_type <> 'purchase' AND (last IS NULL OR event_id > last)")
