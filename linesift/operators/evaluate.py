@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,21 +86,32 @@ def pairs(rows: DataFrame, key: list[str], mode: str, value: str, off: str = "of
 def bootstrap_ratio(pairs_: DataFrame, rounds: int = 2000, seed: int = 7) -> DataFrame:
     """change, low, high: on / off - 1 of the sums, with a 95 % interval from Poisson resampling.
 
-    Each pair is drawn a Poisson(1) number of times a round, from a hash of pair and round, so rounds are sums that
-    combine before the shuffle, and a repeated run gives the same interval.
+    Each pair is drawn a Poisson(1) number of times a round, by a hash of the pair and the round, so an interval depends
+    neither on the order nor on the partitioning. A batch of pairs is a matrix product: what leaves a task is a row a
+    round, whatever the number of pairs. Round 0 takes each pair once: the point estimate.
     """
-    u = lambda k: F.pmod(F.xxhash64("off", "on", "pair", "round", F.lit(seed + k)), F.lit(1 << 30)) / float(1 << 30)
-    steps, total, term = F.lit(0), 0.36787944117144233, 0.36787944117144233
-    draw = u(0)
-    for k in range(1, 8):
-        steps = F.when(draw >= total, F.lit(k)).otherwise(steps)
-        term /= k
-        total += term
-    # Round 0 takes each pair once: the point estimate.
-    rows = pairs_.withColumn("pair", F.xxhash64(*pairs_.columns)).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds)))).withColumn("times", F.when(F.col("round") == 0, F.lit(1)).otherwise(steps))
-    sums = rows.groupBy("round").agg(F.sum(F.col("off") * F.col("times")).alias("a"), F.sum(F.col("on") * F.col("times")).alias("b")).filter("a > 0").withColumn("ratio", F.col("b") / F.col("a") - 1)
+    # Each number of draws up to seven is taken below its cumulated probability.
+    below = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(8)])[:-1]
+
+    def draws(pair: np.ndarray) -> np.ndarray:
+        x = pair.view(np.uint64)[:, None] + (np.arange(1, rounds + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+        return np.searchsorted(below, (x >> np.uint64(11)) / float(1 << 53), side="right")
+
+    def sums(batches):
+        total = np.zeros((2, rounds + 1))
+        for pdf in batches:
+            both = pdf[["off", "on"]].to_numpy(float).T
+            total[:, 0] += both.sum(1)
+            for i in range(0, len(pdf), 1000):
+                total[:, 1:] += both[:, i : i + 1000] @ draws(pdf["pair"].to_numpy(np.int64)[i : i + 1000])
+        yield pd.DataFrame({"round": np.arange(rounds + 1), "a": total[0], "b": total[1]})
+
+    rows = pairs_.select(F.xxhash64(*pairs_.columns).alias("pair"), F.col("off").cast("double").alias("off"), F.col("on").cast("double").alias("on"))
+    found = rows.mapInPandas(sums, "round int, a double, b double").groupBy("round").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter("a > 0").withColumn("ratio", F.col("b") / F.col("a") - 1)
     drawn = F.when(F.col("round") > 0, F.col("ratio"))
-    return sums.agg(F.max(F.when(F.col("round") == 0, F.col("ratio"))).alias("change"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
+    return found.agg(F.max(F.when(F.col("round") == 0, F.col("ratio"))).alias("change"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
 
 
 def searches_again(calls: DataFrame) -> DataFrame:
@@ -147,3 +162,33 @@ def run_metrics(calls: DataFrame, is_search, is_build) -> DataFrame:
     reruns = rows.filter("build").groupBy("run", "key").agg((F.count(F.lit(1)) - 1).alias("n")).groupBy("run").agg(F.sum("n").alias("reruns"))
     sums = rows.groupBy("run").agg(F.count_if("search").alias("searches"), F.sum(F.floor((F.char_length(F.coalesce("result", F.lit(""))) + 3) / 4)).cast("bigint").alias("tool_tokens"))
     return sums.join(again, "run", "left").join(reruns, "run", "left").fillna(0, ["again", "reruns"])
+
+
+# Words of failures, and the forms of passing status lines that hold them nevertheless.
+FAILURE_WORDS = ("error", "errors", "fail", "failed", "failure", "failures", "exception", "traceback", "panicked", "assertionerror")
+PASSING_FORMS = (r"^0 (errors|failures|failed)\b", r"\b0 failed\b", r"\b0 errors\b", r"\.\.\. ok$", r" PASSED\b")
+PLACE = r"[\w./\\-]+\.[A-Za-z]\w*[:(][0-9]+"
+
+
+def critical(lines: DataFrame) -> DataFrame:
+    """lines: text. Adds critical: the line tells of a failure, or of a place in a source file, and isn't a passing status."""
+    words = F.array(*map(F.lit, FAILURE_WORDS))
+    failure = F.arrays_overlap(F.split(F.lower(F.regexp_replace("text", "[^A-Za-z]+", " ")), " "), words)
+    passing = F.lit(False)
+    for form in PASSING_FORMS:
+        passing = passing | F.col("text").rlike(form)
+    return lines.withColumn("critical", (failure | F.col("text").rlike(PLACE)) & ~passing)
+
+
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A report's table as Markdown; at most so many rows, which a report's reader sees on the driver."""
+    cell = lambda v: "" if v is None else (f"{v:.4g}" if isinstance(v, float) else str(v)).replace("|", "\\|").replace("\n", " ")
+    found = rows.limit(most).collect()
+    table = [rows.columns, ["-"] * len(rows.columns), *([cell(v) for v in r] for r in found)]
+    return "\n".join(f"| {' | '.join(r)} |" for r in table)
+
+
+def write_markdown(rows: DataFrame, path: str, title: str = "") -> None:
+    """The Markdown sink: one text file below path, written by Spark, so the path may be in any store."""
+    text = (f"# {title}\n\n" if title else "") + markdown(rows)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)

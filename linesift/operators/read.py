@@ -6,12 +6,15 @@ by the nearest line above that opens or closes a context: a heading, a directory
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TAG, looks_like_path, norm_path
-from .lossless import SAME_LINE
+from ..sources.shared import stored
 from . import parse
+from .lossless import SAME_LINE
 
 GROUP = r"^\Q" + TAG + r"\E [0-9]+ \Q" + SAME_LINE + r"\E(.*)$"
 PLACES = r"^  (?:(.+):)?([0-9]+(?:,[0-9]+)*)$"
@@ -113,20 +116,32 @@ class Reading:
 
     def __init__(self, outputs: DataFrame, kind: str | None = None):
         outputs = outputs.select("output_id", F.coalesce("raw", F.lit("")).alias("raw"))
-        lines = framed(outputs) if kind != "lines" else parse.raw_lines(outputs).withColumn("part", F.lit("body"))
+        lines = stored(framed(outputs) if kind != "lines" else parse.raw_lines(outputs).withColumn("part", F.lit("body")), "framed")
         ends = lambda part: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == part, F.struct("seq", "line")))), lambda x: x["line"]), "\n")
         self.frame = lines.filter("part <> 'body'").groupBy("output_id").agg(ends("header").alias("header"), ends("footer").alias("footer"))
         body = lines.filter("part = 'body'").select("output_id", "seq", "line")
         found = parse.detect_kind(body) if kind is None else outputs.select("output_id", F.lit(kind).alias("kind"))
-        self.kinds = outputs.select("output_id").join(found, "output_id", "left").select("output_id", F.coalesce("kind", F.lit("paths")).alias("kind"))
+        self.kinds = stored(outputs.select("output_id").join(found, "output_id", "left").select("output_id", F.coalesce("kind", F.lit("paths")).alias("kind")), "kinds")
         of = lambda k: body.join(self.kinds.filter(F.col("kind") == k), "output_id", "left_semi")
-        self.rows, self.unread = content(of("content"))
+        rows, unread = content(of("content"))
+        self.rows = stored(rows, "read")
         self.paths = parse.listed_entries(of("paths")).select("output_id", "seq", F.col("entry").alias("path"))
         counted = parse.listed_entries(of("count"))
         self.counts = parse.parse_counts(of("count"))
-        self.unread = self.unread.unionByName(counted.filter(~F.col("entry").rlike(parse.COUNT)).select("output_id", "seq", F.col("entry").alias("line")))
+        self.unread = stored(unread.unionByName(counted.filter(~F.col("entry").rlike(parse.COUNT)).select("output_id", "seq", F.col("entry").alias("line"))), "unread")
         self.listing = of("lines").select("output_id", "seq", F.col("line").alias("text"))
 
+    def only(self, outputs: DataFrame, how: str) -> Reading:
+        """What some outputs hold: a left_semi or left_anti join with output_id."""
+        other = copy(self)
+        for name in ("kinds", "rows", "unread", "paths", "counts", "listing"):
+            setattr(other, name, getattr(self, name).join(outputs, "output_id", how))
+        return other
+
+    def present(self) -> set[str]:
+        """The kinds that any output has."""
+        return {r["kind"] for r in self.kinds.select("kind").distinct().collect()}
+
     def reliable(self) -> DataFrame:
         """output_id of the outputs whose reading accounts for the text; the others should be passed on as they are."""
         rows = self.rows.groupBy("output_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_match").alias("hits"))

@@ -223,7 +223,7 @@ def pairs_ratio(spark, sf_dir):
 @query()
 def bootstrap_interval(spark, sf_dir):
     """The paired change with its 95 % interval; resampling differs by engine, so there is no SQL for it."""
-    return evaluate.bootstrap_ratio(_pairs(spark, sf_dir), rounds=200)
+    return evaluate.bootstrap_ratio(_pairs(spark, sf_dir))
 
 
 @query(r"""WITH k AS (SELECT conv_id AS session, turn AS seq, lower(regexp_extract(text, '[A-Za-z]+ [A-Za-z]+')) AS key FROM conversations WHERE role = 'user'),
@@ -281,9 +281,9 @@ def rg_json_parse(spark, sf_dir):
     return parse.json_events(parse.raw_lines(raw)).select("path", "number", "text", "is_match")
 
 
-@query(f"WITH {found()} SELECT path, number, text FROM s WHERE length(text) > 20")
+@query(f"WITH {found()} SELECT path, number, text FROM s")
 def same_line_parse(spark, sf_dir):
-    s = search(spark, sf_dir).filter(F.char_length("text") > 20)
+    s = search(spark, sf_dir)
     # One output for each text: the head holds it, a row for each file its numbers.
     rows = s.groupBy(F.col("text").alias("output_id"), "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list("number")), lambda n: n.cast("string")), ",").alias("n"), F.min("seq").alias("seq"))
     heads = rows.select("output_id", F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit("[linesift] 3 matches are this same line: "), "output_id").alias("line")).distinct()
@@ -327,14 +327,24 @@ def framing_split(spark, sf_dir):
     return parse.with_framing(parse.raw_lines(raw)).filter("part is not null").groupBy("output_id", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {FILES}, f AS (SELECT path, count(*) AS n FROM l GROUP BY path) SELECT path AS output_id, n <= 2 AS reliable FROM f")
+@query(f"""WITH {FILES}, u AS (SELECT path, regexp_matches(text, '^.+?:[0-9]+:') AS hit, text, regexp_extract(text, '^(.+?)-[0-9]+-', 1) AS p FROM l WHERE trim(text) <> '' AND text <> '--'),
+c AS (SELECT path, hit, NOT hit AND p <> '' AND NOT regexp_matches(p, '^[ \t]') AND NOT contains(trim(p), ' ') AND regexp_matches(p, '[./\\\\]') AS ctx FROM u),
+f AS (SELECT path, count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (hit OR ctx) AS parsed FROM c GROUP BY path)
+SELECT path AS output_id, (parsed = 0 OR hits > 0) AND n - parsed <= greatest(2.0, 0.05 * n) AS reliable FROM f""")
 def reliability_gate(spark, sf_dir):
-    """Plain prose is no search output: its lines don't parse."""
-    rows = corpus.corpus_lines(table(spark, sf_dir, "documents")).select(F.col("path").alias("output_id"), "seq", F.concat(F.lit("~ "), F.col("number").cast("string")).alias("line"))
+    """Whether each document would pass as search output: prose doesn't parse, and only a line or two of it is let through."""
+    rows = corpus.corpus_lines(table(spark, sf_dir, "documents")).select(F.col("path").alias("output_id"), "seq", F.col("text").alias("line"))
     raw = parse.raw_lines(printed_outputs(rows))
     return parse.reliable(raw, parse.flat_content(raw))
 
 
+@query(r"""WITH w AS (SELECT conv_id, turn, text, list_has_any(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' '), ['error', 'errors', 'fail', 'failed', 'failure', 'failures', 'exception', 'traceback', 'panicked', 'assertionerror']) AS bad FROM conversations)
+SELECT conv_id, turn, (bad OR regexp_matches(text, '[\w./\\-]+\.[A-Za-z]\w*[:(][0-9]+')) AND NOT regexp_matches(text, '^0 (errors|failures|failed)\b|\b0 failed\b|\b0 errors\b|\.\.\. ok$| PASSED\b') AS critical FROM w WHERE text IS NOT NULL""")
+def critical_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text")
+    return evaluate.critical(rows).select("conv_id", "turn", "critical")
+
+
 @query("SELECT page_id, contains(url, '.') AND NOT contains(trim(url), ' ') AS path_like FROM pages WHERE url IS NOT NULL")
 def path_predicate(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").filter("url is not null")

@@ -77,7 +77,7 @@ def compact_outputs(outputs: DataFrame, trigger: int = TRIGGER) -> DataFrame:
     body = kept.groupBy("output_id").agg(gathered(["at", "text"], shown).alias("body"), F.sum(F.when((F.col("size") >= LEAST_RUN) & (F.col("place") == 1), F.col("size") - 2)).alias("similar"))
     sums = labels.groupBy("output_id", "label").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
     sums = sums.unionByName(body.filter("similar > 0").select("output_id", F.lit(logs.SIMILAR).alias("label"), F.col("similar").alias("n"), F.lit(1 << 62).alias("first")))
-    drops = sums.groupBy("output_id").agg(gathered(["first", "label"], F.concat_ws(" ", "n", "label"), ", ").alias("drops"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("dropped"))
+    drops = sums.groupBy("output_id").agg(gathered(["first", "label"], F.concat_ws(" ", "n", "label"), ", ").alias("drops"), F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("first", "label", "n"))), lambda x: F.struct(x["label"], x["n"]))).alias("dropped"))
     out = asked.join(drops, "output_id", "left").join(body, "output_id", "left")
     end = F.when(F.col("raw").endswith("\n"), "\n").otherwise("")
     whole = F.concat(F.when(F.coalesce("body", F.lit("")) == "", "").otherwise(F.concat(F.col("body"), F.lit("\n"))), tagged("not shown: ", F.col("drops"), "."), end)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +33,12 @@ def lossless_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: C
     grouped = lossless.shortest(rows, config)
     unread = read.unread.groupBy("output_id").agg(gathered(["seq"], "line").alias("unread"))
     grouped = grouped.join(unread, "output_id", "left").select("output_id", paragraphs(F.col("text"), F.col("unread")).alias("text"))
-    first = level(grouped, "L1", kind=F.lit("content")).unionByName(level(lists.path_groups(read.paths), "L1")).unionByName(level(lists.count_groups(read.counts), "L1"))
+    present = read.present()
+    first = level(grouped, "L1", kind=F.lit("content"))
+    if "paths" in present:
+        first = first.unionByName(level(lists.path_groups(read.paths), "L1"))
+    if "count" in present:
+        first = first.unionByName(level(lists.count_groups(read.counts), "L1"))
     first = stored(with_frame(first, read).join(outputs.select("output_id", "raw_tokens"), "output_id").withColumn("tokens", tokens(F.col("text"))), "grouped")
     # Further levels are made only of outputs that need them.
     wide = first.filter(F.col("tokens") > config.max_tokens).select("output_id")
@@ -41,7 +47,9 @@ def lossless_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: C
     note = tagged("all ", plural(F.col("n"), "match", "matches"), " in ", plural(F.col("files"), "file", "files"), "; context lines left out.")
     bare = lossless.shortest(bare, config).join(sizes, "output_id").join(unread, "output_id", "left").select("output_id", paragraphs(note, F.col("text"), F.col("unread")).alias("text"))
     names = lossless.projected(need, outputs, config)
-    more = level(bare, "L1-matches", kind=F.lit("content")).unionByName(level(names, "L2", kind=F.lit("content"), recogniser=F.col("kind"), names=F.col("names")))
+    more = level(bare, "L1-matches", kind=F.lit("content"))
+    if not outputs.filter("pattern <> ''").isEmpty():
+        more = more.unionByName(level(names, "L2", kind=F.lit("content"), recogniser=F.col("kind"), names=F.col("names")))
     more = with_frame(more, read).join(outputs.select("output_id", "raw_tokens"), "output_id").withColumn("tokens", tokens(F.col("text")))
     every = first.unionByName(more)
     fits = F.col("tokens") <= config.max_tokens
@@ -70,8 +78,16 @@ def seen_note(before: DataFrame, outputs: DataFrame, config: Config) -> DataFram
     return text.join(n, "output_id").select("output_id", tagged(number(F.col("n")), " matching lines already shown: ", F.col("files"), ".").alias("seen"))
 
 
-def evidence_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: Config, scorer, seen: DataFrame | None) -> DataFrame:
-    """output_id, text, stats: the notes view of every kind, or the coverage view of content."""
+def evidence_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: Config, scorer, seen: DataFrame | None) -> list[DataFrame]:
+    """output_id, text, stats for each kind that there is: the notes view, or the coverage view of content."""
+    present = read.present()
+    views = {"paths": lambda: lists.path_notes(read.paths, config), "count": lambda: lists.count_notes(read.counts, config), "lines": lambda: lists.listing_notes(read.listing, config)}
+    out = [with_frame(view(), read).select(TEXTS) for kind, view in views.items() if kind in present]
+    return out + [content_texts(read, stored(rows, "rest"), outputs, config, scorer, seen)] if "content" in present else out
+
+
+def content_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: Config, scorer, seen: DataFrame | None) -> DataFrame:
+    """output_id, text, stats: the notes or the coverage view of content."""
     wide = max(config.max_tokens, config.trigger_tokens)
     budget = F.when((F.col("raw_tokens") <= config.trigger_tokens) & F.lit(config.trigger_tokens > config.max_tokens), config.trigger_tokens).otherwise(config.max_tokens).cast("bigint")
     budgets = outputs.select("output_id", budget.alias("budget"))
@@ -108,9 +124,7 @@ def evidence_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: C
         out = out.join(seen_note(shown_before, outputs, config), "output_id", "left")
         out = out.withColumn("note", paragraphs(F.col("note"), F.col("seen"))).drop("seen")
     framed = out.join(read.frame, "output_id", "left")
-    body = framed.select("output_id", paragraphs(F.col("header"), F.col("text"), F.col("footer"), F.col("note")).alias("text"), "stats")
-    other = lists.path_notes(read.paths, config).unionByName(lists.count_notes(read.counts, config)).unionByName(lists.listing_notes(read.listing, config))
-    return body.unionByName(with_frame(other, read))
+    return framed.select("output_id", paragraphs(F.col("header"), F.col("text"), F.col("footer"), F.col("note")).alias("text"), "stats")
 
 
 def slim_outputs(outputs: DataFrame, config: Config | None = None, kind: str | None = None, scorer=rank.lexical, seen: DataFrame | None = None) -> DataFrame:
@@ -127,25 +141,20 @@ def slim_outputs(outputs: DataFrame, config: Config | None = None, kind: str | N
     asked = asked.withColumns({"intent": F.trim(F.concat_ws(" ", "intent", "subtask")), "raw_tokens": tokens(F.col("raw"))}).drop("subtask")
     asked = stored(asked, "outputs")
     read = Reading(asked, kind)
-    for name in ("rows", "unread", "paths", "counts", "listing", "frame", "kinds"):
-        setattr(read, name, stored(getattr(read, name), name))
     able = read.reliable()
     if config.view == "lossless":
         able = able.join(asked.filter(F.col("raw_tokens") > config.trigger_tokens), "output_id", "left_semi")
     able = stored(able, "able")
-    for name in ("rows", "unread", "paths", "counts", "listing"):
-        setattr(read, name, getattr(read, name).join(able, "output_id", "left_semi"))
-    outs = asked.join(able, "output_id", "left_semi")
+    read, outs = read.only(able, "left_semi"), asked.join(able, "output_id", "left_semi")
     rows = stored(lines.dedupe_lines(read.rows.withColumn("path", norm_path(F.col("path")))), "unique")
-    done = None
+    parts = []
     if config.view == "lossless":
         done = stored(lossless_texts(read, rows, outs, config), "lossless")
-        rows = rows.join(done, "output_id", "left_anti")
-        for name in ("rows", "unread", "paths", "counts", "listing"):
-            setattr(read, name, getattr(read, name).join(done, "output_id", "left_anti"))
+        parts.append(done.select(TEXTS))
+        read, rows = read.only(done, "left_anti"), rows.join(done, "output_id", "left_anti")
         config = replace(config, view="coverage", trigger_tokens=0)
-    texts = evidence_texts(read, stored(rows, "rest") if done is not None else rows, outs, config, scorer, seen).select(TEXTS)
-    texts = texts.unionByName(done.select(TEXTS)) if done is not None else texts
+    parts += evidence_texts(read, rows, outs, config, scorer, seen)
+    texts = reduce(DataFrame.unionByName, parts) if parts else asked.select("output_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast(STATS).alias("stats"))
     out = asked.join(texts, "output_id", "left")
     # A reduced text that is no shorter would only cost its reader the original.
     text = F.when(tokens(F.col("text")) < F.col("raw_tokens"), F.col("text")).otherwise(F.col("raw"))
