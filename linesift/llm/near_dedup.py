@@ -21,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value, integral, join_keys, row_hash, same_row, stored
+from .common import bounded_batches, by_value, integral, row_hash, same_row, stored
 from .components import components
 from .textnum import U, chunks, digest, fmix, run_hashes, signed, word_hashes
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Members of a family, and shingles of all of them, that one task takes; a larger family is cut into blocks.
-BLOCK, BLOCK_SHINGLES = 2_000, 4_000_000
+BLOCK, BLOCK_SHINGLES = 250, 2_000_000
 
 
 def encoded(texts: pd.Series) -> list[bytes]:
@@ -168,21 +168,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return verdicts(docs, id_col, text_col, k, percent).drop("row").withColumnRenamed("id", id_col)
 
 
-def _links(texts: DataFrame, placed: DataFrame, k: int, percent: int) -> DataFrame:
-    """The links that tasks confirm. placed: node, id, row, family, x, y, side; a task is a family, x and y."""
+def _links(texts: DataFrame, tasks: DataFrame, k: int, percent: int) -> DataFrame:
+    """The links that tasks confirm. texts: node, text; tasks: node, family, x, y, side. A task is a family, x and y."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = same_row(texts, placed, "inner").select("family", "x", "y", "node", "text", "side")
-    tasks = tasks.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
-    return stored(tasks.mapInPandas(link_rows(k, percent), "a bigint, b bigint"), "confirmed")
+    rows = texts.join(tasks.hint("shuffle_hash"), "node").select("family", "x", "y", "node", "text", "side")
+    rows = rows.repartition(parts, "family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return stored(rows.mapInPandas(link_rows(k, percent), "a bigint, b bigint"), "confirmed")
 
 
-def _across(members: DataFrame, links: DataFrame) -> DataFrame | None:
+def _across(members: DataFrame, found: DataFrame) -> DataFrame | None:
     """What is left to confirm in families of several blocks, as tasks; None if nothing is.
 
-    members: node, id, row, family, n, blocks, own. Members that are joined already need no check. A family's largest
-    component is taken as settled, and only the members outside it meet all the others, block by block.
+    members: node, family, n, blocks, own; found: node, root (components so far). Members that are joined already need
+    no check. A family's largest component is taken as settled, and only the members outside it meet all the others,
+    block by block.
     """
-    found = components(links.join(members.select(F.col("node").alias("a")), "a", "left_semi"))
     now = stored(members.join(found, "node", "left").withColumn("c", F.coalesce("root", "node")).drop("root"), "settling")
     sizes = now.groupBy("family", "c").agg(F.count(F.lit(1)).alias("m"))
     largest = sizes.groupBy("family").agg(F.max_by("c", F.struct("m", "c")).alias("largest"))
@@ -192,9 +192,9 @@ def _across(members: DataFrame, links: DataFrame) -> DataFrame | None:
     if rest.isEmpty():
         return None
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    home = now.join(split, "family").select("node", "id", "row", "family", F.col("own").alias("x"), spread("others").alias("y"), F.lit(0).alias("side"))
+    home = now.join(split, "family").select("node", "family", F.col("own").alias("x"), spread("others").alias("y"), F.lit(0).alias("side"))
     guest = rest.withColumn("y", F.pmod(F.xxhash64("node", F.lit(1)), "others").cast("int"))
-    return home.unionByName(guest.select("node", "id", "row", "family", spread("blocks").alias("x"), "y", F.lit(1).alias("side")))
+    return home.unionByName(guest.select("node", "family", spread("blocks").alias("x"), "y", F.lit(1).alias("side")))
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -210,23 +210,28 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash("id", "text"))
     signed_rows = stored(texts.mapInPandas(sign_rows(k), f"id {kind}, row bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"), "signed")
     some = signed_rows.filter("n > 0 and id is not null")
-    classes = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row", "bands")).alias("first"), F.count(F.lit(1)).alias("m"))
-    classes = stored(classes.select("s1", "s2", "n", "m", F.col("first.id").cast("bigint").alias("node"), "first.id", "first.row", "first.bands"), "classes")
-    members = classes.select("node", F.explode("bands").alias("bucket"))
-    stars = members.groupBy("bucket").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    edges = join_keys(members, stars, ["bucket"], "m", BANDS * classes.count()).filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    classes = some.groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "row", "bands")).alias("first"))
+    classes = stored(classes.select("s1", "s2", "n", F.col("first.id").cast("bigint").alias("node"), "first.id", "first.row", "first.bands"), "classes")
+    buckets = classes.select("node", F.explode("bands").alias("bucket"))
+    stars = buckets.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("m")).filter("m > b").select("bucket", "b")
+    edges = buckets.join(stars, "bucket").filter("node <> b").select("node", "b")
+    # A node is in BANDS buckets at most: its smallest star joins the others, which leaves a tenth of the edges.
+    edges = edges.groupBy("node").agg(F.collect_set("b").alias("bs")).withColumn("m", F.array_min("bs"))
+    edges = edges.select(F.explode(F.transform(F.concat("bs", F.array("node")), lambda b: F.struct(b.alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").distinct()
     families = components(edges).select("node", F.col("root").alias("family"))
-    families = classes.select("node", "id", "row", "n").join(families, "node")
-    members = stored(families.join(_blocks(families), "family").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "families")
-    own = members.select("node", "id", "row", "family", F.col("own").alias("x"), F.col("own").alias("y"), F.lit(0).alias("side"))
+    members = classes.select("node", "n", "id", "row").join(families, "node")
+    members = stored(members.join(_blocks(members), "family").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int")), "families")
+    kept = stored(same_row(texts, members.select("node", "id", "row"), "inner").select("node", "text"), "candidates")
+    own = members.select("node", "family", F.col("own").alias("x"), F.col("own").alias("y"), F.lit(0).alias("side"))
     # The family's smallest member visits each block, so that near copies of it are one component at once.
     visits = members.filter("node = family and blocks > 1").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter("x <> own")
-    links = _links(texts, own.unionByName(visits.select("node", "id", "row", "family", "x", F.col("x").alias("y"), F.lit(0).alias("side"))), k, percent)
-    wide = members.filter("blocks > 1")
-    if not wide.isEmpty() and (tasks := _across(wide, links)) is not None:
-        links = links.unionByName(_links(texts, tasks, k, percent))
-    roots = classes.join(components(links), "node", "left").select("s1", "s2", "n", "m", F.coalesce("root", "node").alias("root"))
-    judged = join_keys(some, stored(roots, "roots"), ["s1", "s2", "n"], "m", signed_rows.count()).select("id", "row", "n", F.col("root").alias("component"))
+    links = _links(kept, own.unionByName(visits.select("node", "family", "x", F.col("x").alias("y"), F.lit(0).alias("side"))), k, percent)
+    found = stored(components(links), "found")
+    wide = members.filter("blocks > 1").drop("id", "row")
+    if not wide.isEmpty() and (tasks := _across(wide, found)) is not None:
+        found = components(links.unionByName(_links(kept, tasks, k, percent)))
+    roots = stored(classes.join(found, "node", "left").select("s1", "s2", "n", F.coalesce("root", "node").alias("root")), "roots")
+    judged = some.join(roots, ["s1", "s2", "n"]).select("id", "row", "n", F.col("root").alias("component"))
     alone = signed_rows.filter("n = 0 or id is null").select("id", "row", "n", F.col("id").cast("bigint").alias("component"))
     found = judged.unionByName(alone)
     return found.select("id", "row", F.col("n").alias("n_shingles"), F.col("component").cast(kind).alias("component_id"), F.col("component").eqNullSafe(F.col("id").cast("bigint")).alias("kept"))
