@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 from functools import reduce
 
@@ -12,34 +11,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir, stored  # noqa: F401  the operators take stored() from here
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The six ASCII white-space characters, \x20 and \x09 to \x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 
-_own_dir: str | None = None
-
 
 def by_value(name: str) -> None:
     """Ship the functions of this module with each task, so that executors need no copy of the package."""
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where that is unset, a local run (one JVM) takes a temporary folder; on a cluster that is an error, since each
-    executor would write to its own disk.
-    """
-    global _own_dir
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="linesift-")
-        folder = f"file://{_own_dir}"
-    return folder.rstrip("/")
-
-
 def integral(df: DataFrame, id_col: str) -> str:
     """The type of an id column, which has to be integral: components and smallest ids are kept as bigint."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -68,14 +51,6 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | No
         return None
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_hash(*cols: str | Column) -> Column:
     """Tells rows that share an id apart; rows equal in all of cols share it, and get equal results."""
     return F.xxhash64(*cols, F.lit(7))

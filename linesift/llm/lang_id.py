@@ -26,7 +26,7 @@ ORDER = 4
 #: Characters of each language that a model is fitted on, at most; a quarter as many, at most, calibrate rejection.
 SAMPLE_CHARS = 1_000_000
 DISCOUNT = 0.75
-CHUNK = 400_000
+CHUNK = 200_000
 
 U = np.uint64
 MIX = U(0x9E3779B97F4A7C15)

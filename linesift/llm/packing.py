@@ -174,7 +174,7 @@ SPELT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELL = {b: b for b in SPELT} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in SPELT)}
 
 
-def encoder(path: str):
+def encoder(path: str, remembered: int = REMEMBERED):
     """bytes of little-endian ids for a list of words; a word is what space, newline or tab parts.
 
     Words that were met before are looked up. A new word of plain characters is parted as the tokenizer parts it,
@@ -206,7 +206,7 @@ def encoder(path: str):
             return b"".join(map(words_.__getitem__, words))
         except KeyError:
             for d in (words_, parts):
-                if len(d) > REMEMBERED:
+                if len(d) > remembered:
                     d.clear()
             for w in words:
                 if w not in words_:
@@ -216,11 +216,11 @@ def encoder(path: str):
     return encode
 
 
-def piece_rows(path: str, capacity: int):
+def piece_rows(path: str, capacity: int, remembered: int):
     """The pieces of each document: its place among the part's pieces of that length is seq."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = encoder(path, remembered)
         part = TaskContext.get().partitionId()
         end = np.array([END], "<u4").tobytes()
         seen: Counter = Counter()
@@ -260,18 +260,19 @@ def place_rows(where: dict[int, np.ndarray], fixed: int):
 by_value(__name__)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """Per piece: the id, piece, start, length, ids_crc32, sequence_id, offset, and whether dominance fixed its sequence.
 
     A document is the ids of its text (null: none) and the end id. One longer than capacity is cut into pieces of
     capacity ids, the last maybe shorter. Rows with a null id, and repeated rows, are packed like any other. An
-    empty table gives no pieces. tokenizer: the path of its file, the same on all machines.
+    empty table gives no pieces. tokenizer: the path of its file, the same on all machines. remembered: the words, and
+    the parts of words, whose ids a Python worker keeps; fewer take less memory and more time.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint"
-    pieces = stored(texts.mapInPandas(piece_rows(tokenizer, capacity), f"{schema}, part int, seq bigint"), "pieces")
+    pieces = stored(texts.mapInPandas(piece_rows(tokenizer, capacity, remembered), f"{schema}, part int, seq bigint"), "pieces")
     counts = stored(pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
     patterns, fixed = plan(dict(map(tuple, counts.groupBy("length").agg(F.sum("n")).collect())), capacity)  # at most capacity rows
     where = slots(patterns)
