@@ -18,6 +18,10 @@ from linesift.llm.common import row_hash, same_row, stored
 from linesift.llm.queries import tokenizer_path
 
 
+#: Words that a Python worker remembers while it packs; the same worker has held the models of the stages before.
+REMEMBERED = 200_000
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
     """docs with columns c0, c1, ..., and those of doc_id, text and lang."""
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
@@ -71,7 +75,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their places in sequences; null text is the end token alone, and no row is left out."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), remembered=REMEMBERED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
