@@ -73,7 +73,7 @@ def workload_aggregates(rows: DataFrame, by: str) -> DataFrame:
 
 def weighted_mean(rows: DataFrame, weights: DataFrame, by: str, value: str) -> DataFrame:
     """One row: the mean of the groups' means, by weight."""
-    means = rows.groupBy(by).agg(F.avg(value).alias("m")).join(F.broadcast(weights), by)
+    means = rows.groupBy(by).agg(F.avg(value).alias("m")).join(weights, by)
     return means.agg(F.round(F.sum(F.col("m") * F.col("weight")) / F.sum("weight"), 6).alias("mean"))
 
 

@@ -79,32 +79,39 @@ def mixed_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     under = line.rlike(parse.BARE) & ~F.col("place") & (~F.col("below") | F.col("deep")) & owner.isNotNull()
     found = F.when(F.col("flat.is_match").isNotNull() & ~F.col("raw").rlike(parse.BARE), F.col("flat")).when(under, F.struct(owner.alias("path"), number.try_cast("bigint").alias("number"), said.alias("text"), (colon == ":").alias("is_match")))
     rows = rows.withColumns({"found": found, "shallow": shallow})
+    # A heading that nothing followed was none.
+    used = F.bool_or((F.col("found").isNotNull() & ~F.col("is_head")) | F.col("shallow")).over(Window.partitionBy("output_id", "head.seq"))
+    used = F.col("is_head") & used
+    rows = stored(rows.withColumn("used", used).select("output_id", "seq", "raw", "place", "once", "found", "used", "shallow"), "walked")
     typed = rows.filter("found is not null").select("output_id", (F.col("seq") * STEP).alias("seq"), "found.*")
     numbers = F.split(F.regexp_extract("raw", PLACES, 2), ",").try_cast("array<bigint>")
     once = rows.filter("place").select("output_id", "seq", F.regexp_extract("raw", PLACES, 1).alias("path"), F.posexplode(numbers).alias("i", "number"), F.col("once").alias("text"), F.lit(True).alias("is_match"))
     typed = typed.unionByName(once.withColumn("seq", F.col("seq") * STEP + F.col("i")).drop("i"))
-    # A heading that nothing followed was none.
-    used = F.bool_or((F.col("found").isNotNull() & ~F.col("is_head")) | F.col("shallow")).over(Window.partitionBy("output_id", "head.seq"))
-    rows = rows.withColumn("used", F.col("is_head") & used)
     left = rows.filter(~F.col("place") & F.col("found").isNull() & ~F.col("used") & ~F.col("shallow") & ~F.col("raw").rlike(GROUP) & ~parse.blank(F.col("raw")) & (F.trim("raw") != "--"))
     return typed.select(ROWS), left.select("output_id", "seq", F.col("raw").alias("line"))
 
 
 def content(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Typed rows and unread lines of content outputs: JSON events, Select-String -Context, or the mixed layouts."""
+    """Typed rows and unread lines of content outputs: JSON events, Select-String -Context, or the mixed layouts. Layouts that no
+    output has are left out of the plans."""
     use = rows.filter(~parse.blank(F.col("line")))
     first = use.groupBy("output_id").agg(F.min_by("line", "seq").alias("first"), F.bool_and(F.col("line").rlike(parse.SELECT_STRING)).alias("marked"), F.bool_or(F.col("line").rlike(r"^> \S")).alias("hit"))
     event = F.coalesce(F.get_json_object("first", "$.type").isin("begin", "match", "context", "end", "summary"), F.lit(False))
     how = F.when(F.col("first").startswith("{") & event, "events").when(F.col("marked") & F.col("hit"), "marked").otherwise("mixed")
-    rows = rows.join(first.select("output_id", how.alias("how")), "output_id")
+    first = stored(first.select("output_id", how.alias("how")), "layouts")
+    present = {r["how"] for r in first.select("how").distinct().collect()}
+    rows = rows.join(first, "output_id")
     of = lambda h: rows.filter(F.col("how") == h).select("output_id", "seq", "line")
     typed, left = mixed_rows(of("mixed"))
     step = lambda df: df.withColumn("seq", F.col("seq") * STEP).select(ROWS)
-    broken = of("events").filter(~parse.blank(F.col("line")) & F.try_parse_json("line").isNull())
-    events = parse.json_events(of("events"))
-    order = Window.partitionBy("output_id", "seq").orderBy("number")
-    events = events.withColumn("seq", F.col("seq") * STEP + F.row_number().over(order)).select(ROWS)
-    return typed.unionByName(events).unionByName(step(parse.select_string(of("marked")))), left.unionByName(broken)
+    if "events" in present:
+        left = left.unionByName(of("events").filter(~parse.blank(F.col("line")) & F.try_parse_json("line").isNull()))
+        order = Window.partitionBy("output_id", "seq").orderBy("number")
+        events = parse.json_events(of("events"))
+        typed = typed.unionByName(events.withColumn("seq", F.col("seq") * STEP + F.row_number().over(order)).select(ROWS))
+    if "marked" in present:
+        typed = typed.unionByName(step(parse.select_string(of("marked"))))
+    return typed, left
 
 
 class Reading:
@@ -124,11 +131,11 @@ class Reading:
         self.kinds = stored(outputs.select("output_id").join(found, "output_id", "left").select("output_id", F.coalesce("kind", F.lit("paths")).alias("kind")), "kinds")
         of = lambda k: body.join(self.kinds.filter(F.col("kind") == k), "output_id", "left_semi")
         rows, unread = content(of("content"))
-        self.rows = stored(rows, "read")
+        self.rows = rows
         self.paths = parse.listed_entries(of("paths")).select("output_id", "seq", F.col("entry").alias("path"))
         counted = parse.listed_entries(of("count"))
         self.counts = parse.parse_counts(of("count"))
-        self.unread = stored(unread.unionByName(counted.filter(~F.col("entry").rlike(parse.COUNT)).select("output_id", "seq", F.col("entry").alias("line"))), "unread")
+        self.unread = unread.unionByName(counted.filter(~F.col("entry").rlike(parse.COUNT)).select("output_id", "seq", F.col("entry").alias("line")))
         self.listing = of("lines").select("output_id", "seq", F.col("line").alias("text"))
 
     def only(self, outputs: DataFrame, how: str) -> Reading:

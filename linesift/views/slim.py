@@ -46,9 +46,9 @@ def lossless_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: C
     bare = need.join(sizes.filter("context"), "output_id", "left_semi").filter("is_match")
     note = tagged("all ", plural(F.col("n"), "match", "matches"), " in ", plural(F.col("files"), "file", "files"), "; context lines left out.")
     bare = lossless.shortest(bare, config).join(sizes, "output_id").join(unread, "output_id", "left").select("output_id", paragraphs(note, F.col("text"), F.col("unread")).alias("text"))
-    names = lossless.projected(need, outputs, config)
     more = level(bare, "L1-matches", kind=F.lit("content"))
     if not outputs.filter("pattern <> ''").isEmpty():
+        names = lossless.projected(need, outputs, config)
         more = more.unionByName(level(names, "L2", kind=F.lit("content"), recogniser=F.col("kind"), names=F.col("names")))
     more = with_frame(more, read).join(outputs.select("output_id", "raw_tokens"), "output_id").withColumn("tokens", tokens(F.col("text")))
     every = first.unionByName(more)
@@ -105,7 +105,8 @@ def content_texts(read: Reading, rows: DataFrame, outputs: DataFrame, config: Co
         left, shown_before = split.filter("kept").select(content.ROWS), split.filter("not kept and is_match").select(content.ROWS)
     asks = queries.filter((F.col("intent") != "") | (F.col("pattern") != ""))
     queries = None if asks.isEmpty() else queries
-    plain, _ = content.evidence(left, budgets, raw, config, queries, scorer)
+    # The coverage view ranks only what its index leaves room for; whether anything has to go is told without ranks.
+    plain, _ = content.evidence(left, budgets, raw, config, None if config.view == "coverage" else queries, scorer)
     unread = read.unread.groupBy("output_id").agg(gathered(["seq"], "line").alias("unread"))
     plain = stored(plain, "evidence")
     count = rows.groupBy("output_id").agg(F.count_distinct("path").alias("files"), F.count_if("is_match").alias("all"))
