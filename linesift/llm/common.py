@@ -32,11 +32,22 @@ def integral(df: DataFrame, id_col: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Hand Python workers at most 1,000 rows and 16 MB at a time, from now on in this session: texts may be long."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+    """Hand Python workers at most 1,000 rows and 4 MB at a time, from now on in this session: texts may be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
         spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the machine: the worker outlives its task, and the JVM beside it needs room."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/linesift/{tag}-{uuid.uuid4().hex}"
 
@@ -138,3 +149,6 @@ def same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
     """
     right = right.withColumnsRenamed({"id": "_id", "row": "_row"}).hint("shuffle_hash")
     return left.join(right, left["id"].eqNullSafe(right["_id"]) & (left["row"] == right["_row"]), how).drop("_id", "_row")
+
+
+by_value(__name__)

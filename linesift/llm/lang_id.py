@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value
+from .common import bounded_batches, by_value, give_back
 
 ORDER = 4
 #: Characters of each language that a model is fitted on, at most; a quarter as many, at most, calibrate rejection.
@@ -218,6 +218,7 @@ def judge_rows(shared):
                     out[i] = x
             frame = pd.DataFrame(out, columns=FOUND)
             yield pd.concat([pdf.iloc[:, :-1].reset_index(drop=True), frame], axis=1)
+        give_back()
 
     return run
 

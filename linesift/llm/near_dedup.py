@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value, integral, row_hash, same_row, stored
+from .common import bounded_batches, by_value, give_back, integral, row_hash, same_row, stored
 from .components import components
 from .textnum import U, chunks, digest, fmix, run_hashes, signed, word_hashes
 
@@ -82,6 +82,7 @@ def sign_rows(k: int):
                         bands[x] = row
                 whole = [digest(s.tobytes()) for s in sets]
                 yield pd.DataFrame({"id": pdf["id"].iloc[i:j].to_numpy(), "row": pdf["row"].iloc[i:j].to_numpy(), "n": size, "s1": [x[0] for x in whole], "s2": [x[1] for x in whole], "bands": bands})
+        give_back()
 
     return run
 
@@ -149,6 +150,7 @@ def link_rows(k: int, percent: int):
                 out = []
         if key and (out := close()):
             yield pd.DataFrame(out, columns=["a", "b"])
+        give_back()
 
     return run
 

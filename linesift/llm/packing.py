@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_value, stored
+from .common import bounded_batches, by_value, give_back, stored
 
 CAPACITY = 4096
 END = 1
@@ -235,6 +235,7 @@ def piece_rows(path: str, capacity: int, remembered: int):
                     out.append((doc, p, at // 4, n, zlib.crc32(piece), part, seen[n]))
                     seen[n] += 1
             yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "part", "seq"])
+        give_back()
 
     return run
 
